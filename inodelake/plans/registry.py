@@ -1,0 +1,8 @@
+"""All registered queries and their SQL, by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
