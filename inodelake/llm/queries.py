@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inodelake.llm.idfiles import op3_token_ids
+from inodelake.llm.langid import op9_language_id
 from inodelake.llm.licenses import OP1_SQL, op1_license_scan
 from inodelake.llm.mixing import OP10_SQL, op10_mixing
 from inodelake.llm.packing import op7_best_fit_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_token_ids": op3_token_ids,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_warc": op8_warc,
+    "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op1_license_scan": OP1_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
