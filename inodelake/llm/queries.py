@@ -8,11 +8,13 @@ from inodelake.llm.licenses import OP1_SQL, op1_license_scan
 from inodelake.llm.mixing import OP10_SQL, op10_mixing
 from inodelake.llm.ngram_join import op6_ngram_jaccard
 from inodelake.llm.packing import op7_best_fit_packing
+from inodelake.llm.vector_dedup import op4_vector_near_dedup
 from inodelake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_token_ids": op3_token_ids,
+    "op4_vector_near_dedup": op4_vector_near_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_warc": op8_warc,
