@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inodelake.llm.ann import op5_nearest_neighbours
 from inodelake.llm.idfiles import op3_token_ids
 from inodelake.llm.langid import op9_language_id
 from inodelake.llm.licenses import OP1_SQL, op1_license_scan
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_token_ids": op3_token_ids,
     "op4_vector_near_dedup": op4_vector_near_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_warc": op8_warc,
