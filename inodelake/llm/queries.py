@@ -6,6 +6,7 @@ from inodelake.llm.ann import op5_nearest_neighbours
 from inodelake.llm.idfiles import op3_token_ids
 from inodelake.llm.langid import op9_language_id
 from inodelake.llm.licenses import OP1_SQL, op1_license_scan
+from inodelake.llm.lm_score import op2_lm_score
 from inodelake.llm.mixing import OP10_SQL, op10_mixing
 from inodelake.llm.ngram_join import op6_ngram_jaccard
 from inodelake.llm.packing import op7_best_fit_packing
@@ -14,6 +15,7 @@ from inodelake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_lm_score": op2_lm_score,
     "op3_token_ids": op3_token_ids,
     "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
