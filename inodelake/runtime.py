@@ -71,26 +71,31 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Position from 1 of each row among the rows with equal ``keys``, by ``order``.
+def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column | None, name: str) -> DataFrame:
+    """Running sum of ``value`` (or count of rows) over the rows with equal ``keys``, by ``order``, up to and with each row.
 
     Two phases, so a key that holds any share of all rows is never sorted in one
     task: the rows are range-partitioned on keys and order, written with their
-    partition number, ranked inside (keys, partition), and shifted by the counts
+    partition number, summed inside (keys, partition), and shifted by the sums
     of the partitions before. Rows that tie in everything are kept apart by a
     running number, so equal rows can't pile up in a partition either.
     """
-    tie, part, local, before = "__tie", "__part", "__local", "__before"
-    placed = df.withColumn(tie, F.monotonically_increasing_id())
+    tie, part, local, before, own = "__tie", "__part", "__local", "__before", "__value"
+    placed = df.withColumn(tie, F.monotonically_increasing_id()).withColumn(own, (F.lit(1) if value is None else value).cast("long"))
     ranges = [*[F.col(k).asc_nulls_last() for k in keys], *order, F.col(tie)]
     placed = written(placed.repartitionByRange(*ranges).withColumn(part, F.spark_partition_id()), "ranked")
-    counts = placed.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
+    sums = placed.groupBy(*keys, part).agg(F.sum(own).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(before))
-    inside = Window.partitionBy(*keys, part).orderBy(*order, F.col(tie))
-    ranked = placed.withColumn(local, F.row_number().over(inside))
-    joined = ranked.join(starts, same_keys(ranked, starts, [*keys, part]))
-    return joined.select(*[ranked[c] for c in df.columns], (ranked[local] + starts[before]).alias(name))
+    starts = sums.select(*keys, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy(*keys, part).orderBy(*order, F.col(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn(local, F.sum(own).over(inside))
+    joined = summed.join(starts, same_keys(summed, starts, [*keys, part]))
+    return joined.select(*[summed[c] for c in df.columns], (summed[local] + starts[before]).alias(name))
+
+
+def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Position from 1 of each row among the rows with equal ``keys``, by ``order``."""
+    return with_running(df, keys, order, None, name)
 
 
 def running_start(df: DataFrame, index: str, value: str, name: str, block: int = 1024) -> DataFrame:
