@@ -103,13 +103,19 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, si
     return written(joined.mapInArrow(write, "part long, shard long, captures long, file string"), "manifest")
 
 
-def members(raw: bytes) -> Iterator[bytes]:
-    """The contents of the gzip members of an archive."""
-    left = memoryview(raw)
-    while left:
+def members(raw: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of the gzip members of an archive, which is read in steps so that what follows a member is not copied each time."""
+    at, view = 0, memoryview(raw)
+    while at < len(raw):
         d = zlib.decompressobj(31)
-        yield d.decompress(left) + d.flush()
-        left = memoryview(d.unused_data)
+        parts = []
+        while not d.eof:
+            if at >= len(raw):
+                raise EOFError("the last record is cut off")
+            parts.append(d.decompress(view[at : at + step]))
+            at += min(step, len(raw) - at)
+        at -= len(d.unused_data)
+        yield b"".join(parts)
 
 
 def parse(raw: bytes, with_payload: bool) -> tuple:
