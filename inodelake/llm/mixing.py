@@ -70,8 +70,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as ``plan_mix`` takes it."""
     key = "__row"
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    plan = plan_mix(rows, keep=(key,), **how).where("copies > 0").select(key, "copies")
-    taken = rows.join(plan, key).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    plan = plan_mix(rows, keep=(key,), **how).where("copies > 0").select(key, F.col("copies").alias("__copies"))
+    taken = rows.join(plan, key).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return taken.select(*[rows[c] for c in docs.columns])
 
 
