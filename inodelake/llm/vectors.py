@@ -50,6 +50,9 @@ def common_length(rows: DataFrame) -> int:
 
 
 def matrix(parts: list[bytes], unit: bool = True, kind: str = "<f8") -> np.ndarray:
+    """Vectors as rows, of length 1 if ``unit``; without vectors, a matrix without rows."""
+    if not parts:
+        return np.zeros((0, 0))
     out = np.frombuffer(b"".join(parts), dtype=kind).reshape(len(parts), -1).astype(np.float64)
     if unit:
         out = out / np.abs(out).max(1, keepdims=True)
