@@ -355,12 +355,16 @@ def jaccard_classes(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshol
     return out.select(*[rows[c] for c in keep], F.when(F.col("set_id").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), lead.alias("kept"))
 
 
-def near_unique(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each class."""
-    row = "__row"
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    chosen = jaccard_classes(numbered, keep=(row,), **how).where("kept").select(row)
-    return numbered.join(chosen, row, "left_semi").select(*docs.columns)
+def near_unique(docs: DataFrame, row: str | None = None, **how) -> DataFrame:
+    """``docs`` with one document of each class.
+
+    ``row`` is a column that tells rows apart and stays the same when ``docs`` is
+    read again; without one, the rows are numbered in a written copy.
+    """
+    own = row or "__row"
+    numbered = docs if row else written(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    chosen = jaccard_classes(numbered, keep=(own,), **how).where("kept").select(own)
+    return numbered.join(chosen, own, "left_semi").select(*docs.columns)
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
