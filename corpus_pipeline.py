@@ -6,6 +6,7 @@ all but the last return the columns they were given.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8), repeated rows included."""
-    return ngram_join.near_unique(docs)
+    """One document of each group of near copies (five words, 0.8), repeated rows included.
+
+    Rows of files are told apart by file and place; other tables are numbered in a written copy.
+    """
+    try:
+        placed = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__place"))
+    except AnalysisException:
+        return ngram_join.near_unique(docs)
+    return ngram_join.near_unique(placed, row="__place").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
