@@ -24,6 +24,8 @@ LENGTHS = (2, 3, 4)
 BITS = 15
 #: Expected number of training texts per language, the most of all languages together, and landmarks.
 PER_LANGUAGE, MOST, LANDMARKS = 1000, 6000, 384
+#: Languages that can be learned, the most frequent ones.
+LANGUAGES = 500
 RIDGE = 1e-3
 #: How sharply the regressions' outputs are turned into a score.
 SHARP = 6.0
@@ -125,8 +127,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, l
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     hashed = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
     counts = docs.where(~held_out() & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
-    sample = usable.join(share, F.col("lang") == F.col("of")).where(hashed < F.col("share") * (1 << 30)).select(hashed.alias("hash"), "lang", "text").limit(most)
+    common = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # LANGUAGES rows at most
+    share = spark.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in common], "of string, share double")
+    sample = usable.join(F.broadcast(share), F.col("lang") == F.col("of")).where(hashed < F.col("share") * (1 << 30)).select(hashed.alias("hash"), "lang", "text")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -134,10 +137,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, l
             bits = [np.packbits(m).tobytes() for block in _blocks(texts) for m in marks([texts[k] for k in block])]
             yield pd.DataFrame({"hash": rows["hash"], "lang": rows["lang"], "bits": bits})
 
-    got = sample.mapInPandas(packed, "hash long, lang string, bits binary").toPandas()
+    got = sample.mapInPandas(packed, "hash long, lang string, bits binary").orderBy("hash", "lang", "bits").limit(most).toPandas()
     if got.empty:
         return None
-    got = got.sort_values(["hash", "lang", "bits"])
     bits = np.unpackbits(np.frombuffer(b"".join(map(bytes, got["bits"])), dtype=np.uint8).reshape(len(got), -1), axis=1)
     return fit(bits, got["lang"].to_numpy(dtype=str), landmarks)
 
