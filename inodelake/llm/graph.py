@@ -11,20 +11,26 @@ from inodelake.runtime import written
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node and root (the smallest node of its component) for every node of ``edges`` (a, b).
 
-    Each round a node takes the smallest root among its own and its neighbours',
-    and then that root's root; roots only fall, and the rounds end when none did.
-    A node's neighbours are only ever reduced by min, so one with very many
-    edges is summed up before the shuffle.
+    In each round a node is merged into the smallest of its neighbours and itself,
+    and only the distinct edges between different merged nodes are left, until
+    there are none. A node's neighbours are only ever reduced by min, so one with
+    very many edges is summed up before the shuffle. A star goes in one round;
+    names in no particular order, as digests are, take about as many rounds as the
+    logarithm of the component's size.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    roots = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    roots: DataFrame | None = None
     for _ in range(rounds):
-        near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        met = roots.join(near, roots["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next"))
-        up = roots.select(F.col("node").alias("at"), F.col("root").alias("above"))
-        after = met.join(up, met["next"] == up["at"], "left").select("node", F.least("next", F.coalesce("above", "next")).alias("root"), (F.least("next", F.coalesce("above", "next")) < F.col("root")).alias("fell"))
-        after = written(after, "roots")
-        roots = after.drop("fell")
-        if not after.where("fell").take(1):
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        merged = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("into")), "merged")
+        if roots is None:
+            roots = merged.select(F.col("a").alias("node"), F.col("into").alias("root"))
+        else:
+            roots = written(roots.join(merged, roots["root"] == merged["a"], "left").select("node", F.coalesce("into", "root").alias("root")), "roots")
+        x = merged.select(F.col("a").alias("p"), F.col("into").alias("x"))
+        y = merged.select(F.col("a").alias("q"), F.col("into").alias("y"))
+        moved = left.where("a <> b").join(x, F.col("a") == F.col("p")).select("x", "b").join(y, F.col("b") == F.col("q")).where("x <> y")
+        left = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if not left.take(1):
             return roots
     raise RuntimeError("the components did not settle")

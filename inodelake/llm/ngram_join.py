@@ -4,8 +4,9 @@ Documents with equal shingle sets form a class; classes are joined. A class is
 sketched by TOKENS min-hashes, each a token that two classes share with the
 probability of their similarity. From the root of every run, classes walk to the
 nodes named by sampled tokens they have, so that similar classes walk together;
-nodes with few classes are compared by brute force, larger ones are split on
-further tokens, and the runs repeat until a pair at the threshold is missed with
+nodes with few classes are compared by brute force. In a larger one, classes that
+are much alike to its first one are done with it, and the others are split on
+further tokens. The runs repeat until a pair at the threshold is missed with
 less than the allowed probability. What the paths give are candidate
 clusters; within a cluster every pair's similarity is computed exactly, in blocks.
 """
@@ -29,6 +30,9 @@ WORDS, THRESHOLD = 5, 0.8
 TOKENS, CANDIDATE = 64, 0.6
 #: Classes of a node that are compared by brute force; steps after which a larger node is taken as one cluster; tokens sampled in a later step.
 BUCKET, STEPS, DEEPER = 256, 4, 2
+#: Agreement with a large node's first class from which a class is joined to it, and from which it walks no further:
+#: whatever is similar to the latter is near enough to the first class to be joined to it as well.
+JOINED, DONE = 0.4, 0.9
 RECALL = 0.9999
 #: Classes in one block of the exact comparison.
 BLOCK = 256
@@ -119,7 +123,8 @@ def runs_needed(threshold: float = THRESHOLD, steps: int = STEPS, recall: float
     """
     two = 1 / threshold - 1
     step = (1 - two) * threshold + two * (1 - (1 - threshold) ** 2)
-    deep = step * (1 - (1 - threshold**DEEPER) ** 2)
+    pairs = threshold**DEEPER
+    deep = step * (1 - (1 - pairs) ** 2 * (1 / pairs - 1) - (1 - pairs) * (2 - 1 / pairs))
     return math.ceil(math.log(1 - recall) / math.log(1 - deep))
 
 
@@ -145,7 +150,7 @@ def _step(frontier: DataFrame, depth: int, threshold: float) -> DataFrame:
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             nodes = batch.column(1).to_numpy().astype(np.uint64)
             sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(len(ids), -1)
-            per = 1 / threshold if depth == 0 else 2.0
+            per = 1 / threshold if depth == 0 else 1 / threshold**DEEPER
             for rows, first in _choices(nodes, sigs.shape[1], depth, per):
                 child = mix(nodes[rows] ^ mix(first.astype(np.uint64) + (sigs[rows, first].astype(np.uint64) << U(8))))
                 for more in range(1, DEEPER if depth else 1):
@@ -222,6 +227,23 @@ def _brute(leaves: DataFrame) -> DataFrame:
     return leaves.select("node", "set_id", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a binary, b binary")
 
 
+def _near_first(large: DataFrame, sketch: DataFrame) -> DataFrame:
+    """set_id, node and first of ``large``, with joined and done: how the class agrees with the node's first one."""
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u4").reshape(batch.num_rows, -1) for k in (3, 4))
+                agree = (a == b).mean(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(agree >= JOINED), pa.array(agree >= DONE)], names=["set_id", "node", "first", "joined", "done"])
+
+    firsts = sketch.select(F.col("set_id").alias("of"), F.col("sketch").alias("theirs"))
+    both = large.join(sketch, "set_id").join(firsts, F.col("first") == F.col("of")).select("set_id", "node", "first", "sketch", "theirs")
+    return both.mapInArrow(compare, "set_id binary, node long, first binary, joined boolean, done boolean")
+
+
 def candidate_edges(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) between classes (set_id, sketch) whose components hold every similar pair, but for the recall."""
     spark = classes.sparkSession
@@ -240,10 +262,14 @@ def candidate_edges(classes: DataFrame, threshold: float = THRESHOLD, recall: fl
         large = met.where(F.col("n") > BUCKET)
         if not large.take(1):
             break
-        if depth == STEPS - 1:  # after so many shared tokens the classes of a node are alike: one cluster, compared exactly later
-            edges.append(large.select(F.col("set_id").alias("a"), F.col("first").alias("b")).where("a <> b"))
-        else:
-            frontier = large.select("set_id", "node").join(sketch, "set_id")
+        if depth == 0:  # from here on only the sketches of these classes are looked at
+            sketch = written(large.select("set_id").distinct().join(sketch, "set_id"), "sketches")
+        large = written(_near_first(large, sketch), "large")
+        # after so many shared tokens the classes of a node are alike: one cluster, compared exactly later
+        last = depth == STEPS - 1
+        edges.append(large.where(F.lit(last) | F.col("joined")).select(F.col("set_id").alias("a"), F.col("first").alias("b")).where("a <> b"))
+        if not last:
+            frontier = large.where(~F.col("done")).select("set_id", "node").join(sketch, "set_id")
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -338,7 +364,7 @@ def jaccard_classes(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshol
                 yield pa.RecordBatch.from_arrays([*kept.columns[:4], pa.array([sets[k].tobytes() for k in good], pa.binary())], names=["cluster", "set_id", "n", "blocks", "hashes"])
 
     texts = docs.select(F.col(key).alias("__id"), F.col(text_col).alias("__text"))
-    texts = members.join(texts, F.col("first_id").eqNullSafe(F.col("__id"))).select("cluster", "set_id", "n", "blocks", "__text")
+    texts = members.hint("merge").join(texts, F.col("first_id").eqNullSafe(F.col("__id"))).select("cluster", "set_id", "n", "blocks", "__text")
     sets = texts.mapInArrow(again, "cluster binary, set_id binary, n long, blocks int, hashes binary")
     # only a document id that occurs more than once can give a set more than once
     repeats = has.groupBy("set_id", key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
