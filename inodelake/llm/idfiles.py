@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inodelake.llm.stores import write_file
-from inodelake.llm.tokens import tokenizer, word_bpe
+from inodelake.llm.tokens import small_batches, tokenizer, word_bpe
 from inodelake.runtime import running_start, shared_folder, written
 
 MAGIC = b"FVB1"
@@ -139,7 +139,7 @@ def write_id_files(docs: DataFrame, folder: str, end_id: int = 2, path: str | No
         kinds = (("part", pa.int64()), ("shard", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("file", pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     placed = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     return written(placed.mapInArrow(write, "part long, shard long, docs long, tokens long, file string"), "manifest")
 

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inodelake.llm.tokens import small_batches
 from inodelake.runtime import table
 
 LENGTHS = (2, 3, 4)
@@ -123,7 +124,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, l
     doc_id, ``most`` texts in all. The sample's texts are read whole; only
     their marks come to the driver (2**BITS bits each).
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     hashed = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
     counts = docs.where(~held_out() & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -146,7 +147,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, l
 
 def language(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
     """Column of ``docs`` with struct (lang_pred, score); it sees nothing but the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers a language
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers a language
 
     @F.pandas_udf("lang_pred string, score double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inodelake.llm.graph import components
+from inodelake.llm.tokens import small_batches
 from inodelake.runtime import table, written
 
 WORDS, THRESHOLD = 5, 0.8
@@ -37,7 +38,7 @@ RECALL = 0.9999
 #: Classes in one block of the exact comparison.
 BLOCK = 256
 #: Words whose hashes a worker process remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 
 WORD = re.compile(r"\w+")
 U = np.uint64
@@ -94,7 +95,7 @@ def sketches(sets: Sequence[np.ndarray], tokens: int = TOKENS) -> np.ndarray:
 
 def sketched(docs: DataFrame, keep: Sequence[str], words: int, text_col: str) -> DataFrame:
     """``keep`` and, of every document, its set's digest, size and sketch (null without words), written to the shared folder."""
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    rows = small_batches(docs).select(*keep, F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
 
     def sketch(batches: Iterator) -> Iterator:

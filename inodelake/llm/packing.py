@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inodelake.llm.tokens import tokenizer, word_bpe
+from inodelake.llm.tokens import MEMORY, small_batches, tokenizer, word_bpe
 from inodelake.runtime import running_start, table, written
 
 SLOTS = "length int, first long, after long, each long, base long, offset int"
@@ -82,7 +82,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return slots, bins
 
 
-def pieces(docs: DataFrame, capacity: int, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
     """The pieces of every document's ids, written to the shared folder.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, and its running
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int = 0, path: str | None = N
         import pyarrow as pa
         from pyspark import TaskContext
 
-        codec, part = tokenizer(path), TaskContext.get().partitionId()
+        codec, part = tokenizer(path, memory), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
@@ -112,19 +112,19 @@ def pieces(docs: DataFrame, capacity: int, end_id: int = 0, path: str | None = N
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["part", "doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(cut, "part long, doc_id long, piece int, start long, length int, ids_crc32 long, nth long"), "pieces")
+    return written(small_batches(rows).mapInArrow(cut, "part long, doc_id long, piece int, start long, length int, ids_crc32 long, nth long"), "pieces")
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     A document is its ids and ``end_id``; only one longer than ``capacity`` is cut.
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     A null or empty text is the end id alone; an empty table gives no rows;
     repeated rows are packed as often as they occur; rows without a doc_id are
-    packed as well; other columns are ignored.
+    packed as well; other columns are ignored. ``memory``: words that a worker remembers.
     """
-    spark, cut = docs.sparkSession, pieces(docs, capacity, end_id, path, id_col, text_col)
+    spark, cut = docs.sparkSession, pieces(docs, capacity, end_id, path, id_col, text_col, memory)
     by_part = written(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     slots, _ = plan_bins(counts, capacity)

@@ -11,9 +11,12 @@ import re
 from functools import cache
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 #: Chunks remembered per generation and worker process; two generations are kept.
 MEMORY = 600_000
+#: Rows that Python gets at a time.
+BATCH = 1024
 #: Letters followed by ASCII marks other than the apostrophe: the split between both is one the vocabulary's own pattern makes.
 TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:;=?@\[-`{}~]+)\Z")
 END_OF_WORD = "</w>"
@@ -99,6 +102,14 @@ class WordTokenizer:
 
 
 @cache
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, memory: int = MEMORY) -> WordTokenizer:
     """One tokenizer for each worker process and file; later tasks find its memory filled."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, memory)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python at most BATCH rows at a time: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df
