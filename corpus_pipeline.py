@@ -40,9 +40,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, 2048)
+    return packing.pack(docs, 2048, memory=WORDS)
 
 
+#: Words that a worker remembers for packing: less than alone, as the other stages' workers are still there.
+WORDS = 150_000
+
 STAGES = [
     ("language_id", language_stage),
     ("near_copies", near_copy_stage),
