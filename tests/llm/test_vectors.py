@@ -98,3 +98,26 @@ def test_ties_few_candidates_and_odd_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.nearest(df, df.where("vec_id in (50, 3, 9)"), 5).orderBy("rank").collect()]
     assert got == [(50, 1, 1, 1.0), (50, 2, 1, 1.0), (50, 3, 2, 1.0), (50, 4, 10, 0.0)]
     assert ann.nearest(df.where("false"), df).count() == 0 and ann.nearest(df, df.where("false")).count() == 0
+
+
+def test_copies_beyond_the_rerank_keep_the_tie_rule(spark):
+    x = np.random.default_rng(3).standard_normal((400, 32)).astype(np.float32)
+    rows = [(k, (x[0] if k % 2 else x[k % 400]).tolist()) for k in range(800)]
+    df = frame(spark, rows)
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id in (1, 3, 401, 799)")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q, near in got.items():
+        # 0 and 400 are copies of the same vector as the odd ids
+        assert sorted(near) == list(enumerate([i for i in (0, 1, 3, 5, 7, 9) if i != q][:5], 1))
+    assert len(got) == 4
+
+
+def test_scaled_copies_beyond_the_rerank_are_all_compared(spark):
+    x = np.random.default_rng(4).standard_normal((400, 32)).astype(np.float32)
+    rows = [(k, (x[0] * np.float32(2.0 ** (k % 60 - 30)) if k % 2 else x[k % 400]).tolist()) for k in range(800)]
+    df = frame(spark, rows)
+    found = ann.nearest(df, df.where("vec_id in (1, 799)")).collect()
+    assert sorted(r["vec_id"] for r in found if r["query_id"] == 799) == [0, 1, 3, 5, 7]
+    assert sorted(r["vec_id"] for r in found if r["query_id"] == 1) == [0, 3, 5, 7, 9]
+    assert {r["recall"] for r in found} == {1.0}
