@@ -4,8 +4,10 @@ The neighbour graph starts from random projection trees, whose leaves are cut to
 a fixed size, and is refined by joining the neighbours of each vector with
 each other. Lists that hold nothing but links are enlarged. A sample of vectors
 compared with all others audits the recall; while it is short, further trees and
-refinements follow. Edges at the threshold give clusters, in which every pair is
-then compared in double precision, in blocks: what a full list left out is found there.
+refinements follow. Edges at the threshold give clusters; vectors whose enlarged
+lists still hold nothing but links are compared exactly across clusters, by balls.
+In a cluster every pair is then compared in double precision, in blocks: what a
+full list left out is found there. If the recall stays short, balls of all vectors are compared.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ AUDIT, RECALL, ROUNDS = 2048, 0.999, 4
 BLOCK = 512
 #: Candidates are found in single precision; this much below the threshold they are kept for the exact comparison.
 MARGIN = 1e-4
+#: Least cosine to the center of a ball; balls whose centers meet at a time; what an angle in single precision may be off.
+BALL, CENTERS, SLACK = 0.99, 2048, 2e-3
 
 EDGE = "a binary, b binary, sim float"
 
@@ -190,6 +194,93 @@ def _audit(classes: DataFrame, threshold: float, size: int) -> DataFrame:
     return classes.select("key", "vec").mapInArrow(compare, "a binary, b binary")
 
 
+def _across(members: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """Edges (a, b) between the roots of all members (key, root, unit) that are linked across clusters.
+
+    Each cluster is covered by balls, in blocks. Only balls whose centers' angle is at most the threshold's and both
+    radii can hold a link: their members are compared with each other.
+    """
+    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = members.join(sizes, "root").select("root", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "unit")
+
+    def cover(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for roots, _, keys, units in _grouped(batches, 1):
+            v = matrix(units, unit=False, kind="<f4")
+            left, out = np.arange(len(v)), []
+            while len(left):
+                cos = v[left] @ v[left[0]]
+                own = cos >= BALL
+                own[0] = True
+                radius = float(np.arccos(np.clip(cos[own].min(), -1, 1)))
+                out.append((keys[left[0]], roots[0], units[left[0]], radius, b"".join(units[k] for k in left[own])))
+                left = left[~own]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.binary()), strict=True)], names=["ball", "root", "center", "radius", "units"])
+
+    covered = rows.repartition("root", "block").sortWithinPartitions("root", "block", "key").mapInArrow(cover, "ball binary, root binary, center binary, radius double, units binary")
+    balls = written(covered, "balls")
+    blocks = max(1, -(-balls.count() // CENTERS))
+    met = balls.withColumn("own", F.pmod(F.xxhash64("ball"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "ball", "root", "center", "radius")
+    reach = float(np.arccos(max(-1.0, threshold - MARGIN))) + SLACK
+
+    def meet(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for lo, hi, owns, names, roots, centers, radius in _grouped(batches, 1):
+            v, r = matrix(centers, unit=False, kind="<f4"), np.array(radius)
+            number = {x: k for k, x in enumerate(sorted(set(roots)))}
+            root = np.array([number[x] for x in roots])
+            side = np.array(owns) == lo[0]
+            one = np.flatnonzero(side)
+            two = one if lo[0] == hi[0] else np.flatnonzero(~side)
+            for at in range(0, len(one), 256):
+                some = one[at : at + 256]
+                near = np.arccos(np.clip(v[some] @ v[two].T, -1, 1)) <= reach + r[some][:, None] + r[two][None, :]
+                apart = root[some][:, None] - root[two][None, :]
+                near &= apart < 0 if lo[0] == hi[0] else apart != 0
+                x, y = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some[x]], pa.binary()), pa.array([names[k] for k in two[y]], pa.binary())], names=["x", "y"])
+
+    pairs = written(met.repartition("lo", "hi").sortWithinPartitions("lo", "hi").mapInArrow(meet, "x binary, y binary"), "near")
+    x = balls.select(F.col("ball").alias("x"), F.col("root").alias("a"), F.col("units").alias("left"))
+    y = balls.select(F.col("ball").alias("y"), F.col("root").alias("b"), F.col("units").alias("right"))
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b, left, right = (batch.column(k) for k in range(4))
+            linked = []
+            for k in range(batch.num_rows):
+                one, two = (np.frombuffer(c[k].as_py(), dtype="<f4").reshape(-1, dims) for c in (left, right))
+                linked.append(bool((one @ two.T >= threshold - MARGIN).any()))
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(linked, pa.bool_())), b.filter(pa.array(linked, pa.bool_()))], names=["a", "b"])
+
+    met = pairs.join(x, "x").join(y, "y").select("a", "b", "left", "right")
+    return written(met.mapInArrow(compare, "a binary, b binary").distinct(), "across")
+
+
+def _joined(close: DataFrame, clusters: DataFrame, members: DataFrame, dims: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Edges and clusters with those joined that the exact comparison of ``members`` across clusters links."""
+    members = written(members, "members")
+    if not members.take(1):
+        return close, clusters
+    across = _across(members, dims, threshold)
+    if not across.take(1):
+        return close, clusters
+    close = close.union(across)
+    return close, components(close)
+
+
+def _recall(audit: DataFrame, clusters: DataFrame, total: int) -> float:
+    """The share of the audited links inside clusters."""
+    left = clusters.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    right = clusters.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    return audit.join(left, "a").join(right, "b").where("x = y").count() / total if total else 1.0
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept and recall of every row of ``vectors``.
 
@@ -226,12 +317,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             graph = _refined(graph, classes, threshold)
         close = graph.where(F.col("sim") >= threshold - MARGIN).select("a", "b")
         clusters = components(close)
-        if total:
-            left = clusters.select(F.col("node").alias("a"), F.col("root").alias("x"))
-            right = clusters.select(F.col("node").alias("b"), F.col("root").alias("y"))
-            recall = audit.join(left, "a").join(right, "b").where("x = y").count() / total
+        # links that a full list of links left out may lead to other clusters
+        full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("listed"), F.first("last").alias("last"))
+        full = full.where((F.col("listed") >= ENLARGED) & (F.col("last") >= threshold - MARGIN)).select("a")
+        members = clusters.join(full, clusters["node"] == full["a"]).join(classes, clusters["node"] == classes["key"]).select("key", "root", "unit")
+        close, clusters = _joined(close, clusters, members, dims, threshold)
+        recall = _recall(audit, clusters, total)
         if recall >= RECALL:
             break
+    if recall < RECALL:
+        members = classes.join(clusters, classes["key"] == clusters["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "unit")
+        close, clusters = _joined(close, clusters, members, dims, threshold)
+        recall = _recall(audit, clusters, total)
     if recall < 1:
         clusters = components(close.union(audit))  # the audit's own links are not thrown away
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))

@@ -121,3 +121,23 @@ def test_scaled_copies_beyond_the_rerank_are_all_compared(spark):
     assert sorted(r["vec_id"] for r in found if r["query_id"] == 799) == [0, 1, 3, 5, 7]
     assert sorted(r["vec_id"] for r in found if r["query_id"] == 1) == [0, 3, 5, 7, 9]
     assert {r["recall"] for r in found} == {1.0}
+
+
+@pytest.mark.parametrize("recall", (0.999, 1.1))
+def test_links_between_dense_groups_are_found(spark, monkeypatch, recall):
+    # no audited vector is in a group; with a recall out of reach all vectors are compared at the end
+    monkeypatch.setattr(vd, "AUDIT", 1)
+    monkeypatch.setattr(vd, "RECALL", recall)
+    monkeypatch.setattr(vd, "ROUNDS", 1)
+    monkeypatch.setattr(vd, "CENTERS", 64)
+    rng = np.random.default_rng(5)
+    a, b, *rest = np.linalg.qr(rng.standard_normal((32, 32)))[0]
+    groups = [c + 0.003 * rng.standard_normal((40, 32)) for c in (a, 0.96 * a + 0.28 * b)]
+    x = np.concatenate([*groups, rng.standard_normal((400, 32))]).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    close = unit(rows) @ unit(rows).T >= 0.95
+    np.fill_diagonal(close, False)
+    assert close[:40, 40:80].sum() > 1000
+    got = {r["vec_id"]: r for r in vd.near_vectors(frame(spark, rows)).collect()}
+    assert [got[k]["n_links"] for k in range(len(rows))] == close.sum(1).tolist()
+    assert {got[k]["component_id"] for k in range(80)} == {0}
