@@ -12,6 +12,7 @@ partition trains on its own windows and the parameters are averaged, round by ro
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from inodelake.runtime import table, written
 
+TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens with an own entry in the model; the others share entries by class. Tokens with an own class, and classes of the others by ending.
 VOCABULARY, OWN, ENDINGS = 30_000, 112, 80
 #: Context positions, and the sizes of embeddings and of the hidden layer.
@@ -55,8 +57,8 @@ class Network(NamedTuple):
 
 
 def tokens(text: str | None) -> list[str]:
-    """The chunks of a text in lower case that white space parts; full stops and commas are tokens of their own."""
-    return (text or "").lower().replace(".", " . ").replace(",", " , ").split()
+    """The words of a text in lower case, and what stands between words and white space."""
+    return TOKEN.findall((text or "").lower())
 
 
 def ending_class(token: str) -> int:

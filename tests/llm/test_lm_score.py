@@ -92,3 +92,9 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(same) == 2 and same[0] == pytest.approx(same[1])
     assert all(math.isfinite(r["log_prob"]) for r in rows)
     assert lm.pseudo_likelihood(no_docs).count() == 0
+
+
+def test_marks_are_tokens_of_their_own():
+    assert lm.tokens("Word! (word a-b; x_1.") == ["word", "!", "(", "word", "a", "-", "b", ";", "x_1", "."]
+    assert lm.tokens("\u4e00\u4e8c\uff0c\u4e09\u3002\u56db") == ["\u4e00\u4e8c", "\uff0c", "\u4e09", "\u3002", "\u56db"]
+    assert lm.tokens(None) == lm.tokens(" \n") == []
