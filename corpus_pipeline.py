@@ -15,8 +15,13 @@ from inodelake.runtime import table, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter go. Null texts go, null columns stay, repeated rows stay."""
+    """Documents with a letter, which is all that language ID asks of a text. Null texts go, null columns stay, repeated rows stay.
+
+    If no language can be learned, the letter alone decides.
+    """
     model = langid.train(docs)
+    if model is None:
+        return docs.where(langid.lettered(F.col("text")))
     known = docs.withColumn("__found", langid.language(docs, model)).where(F.col("__found.lang_pred") != langid.UNKNOWN)
     return known.select(*docs.columns)
 

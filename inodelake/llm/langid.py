@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from inodelake.llm.tokens import small_batches
 from inodelake.runtime import table
@@ -145,6 +146,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, l
     return fit(bits, got["lang"].to_numpy(dtype=str), landmarks)
 
 
+@F.pandas_udf(BooleanType())
+def lettered(texts: pd.Series) -> pd.Series:
+    """Whether a text has a letter, as ``predict`` asks; a null text has none."""
+    return pd.Series([bool(t and LETTER.search(t)) for t in texts], dtype=bool)
+
+
 def language(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
     """Column of ``docs`` with struct (lang_pred, score); it sees nothing but the text."""
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers a language

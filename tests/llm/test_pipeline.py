@@ -35,6 +35,15 @@ def test_odd_rows_pass_through(spark, odd_docs, no_docs):
         assert docs.count() >= 0
 
 
+def test_clean_texts_stay_without_a_model(spark, docs_of):
+    import corpus_pipeline as p
+
+    texts = ["one two three four", "drei vier", "\u00e9", None, "", " 12 !? ", "one two three four"]
+    for rows in ([(k, t, None) for k, t in enumerate(texts)], [(None, t, "en") for t in texts]):
+        kept = p.language_stage(spark, docs_of(rows), SF)
+        assert sorted(r["text"] for r in kept.collect()) == ["drei vier", "one two three four", "one two three four", "\u00e9"]
+
+
 def test_nothing_else_imports_the_subpackage():
     root = Path(__file__).resolve().parents[2]
     for f in (root / "inodelake").rglob("*.py"):
