@@ -5,9 +5,10 @@ classes of its two left and two right neighbours; a token's share of its class
 comes from its count in the whole corpus. The sum of the conditional
 log-probabilities of all tokens scores a document.
 
-Counts cover every document. Training windows are taken from every document, a
-fixed share of its positions, so what is trained on grows with the corpus; each
-partition trains on its own windows and the parameters are averaged, round by round.
+Counts cover every document and every token: those of the most frequent tokens are
+at hand in each task, those of the others are joined to their occurrences. Every
+position of every document is a training window in one of the rounds; each
+partition trains on its own windows of a round and the parameters are averaged, round by round.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from inodelake.runtime import table, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Tokens with an own entry in the model; the others share entries by class. Tokens with an own class, and classes of the others by ending.
+#: Tokens whose shares are at hand in each task; the others' are joined from the counts. Tokens with an own class, and classes of the others by ending.
 VOCABULARY, OWN, ENDINGS = 30_000, 112, 80
 #: Context positions, and the sizes of embeddings and of the hidden layer.
 WINDOW, DIM, HIDDEN = (-2, -1, 1, 2), 24, 24
-#: One in SHARE positions of every document is a training window. Rounds of averaging, passes in a round, windows in a step, step size.
-SHARE, ROUNDS, PASSES, STEP, RATE = 16, 3, 2, 256, 0.08
+#: In each round of averaging one in SHARE positions of every document is a training window, another one each time.
+SHARE = ROUNDS = 16
+#: Passes in a round, windows in a step, step size.
+PASSES, STEP, RATE = 2, 256, 0.08
 CLASSES = OWN + ENDINGS
 EDGE = CLASSES  # the class of positions before and after a document
 #: Distinct tokens that a worker counts or remembers before it hands them on.
@@ -46,6 +49,7 @@ class Vocabulary(NamedTuple):
     classes: np.ndarray  # of each place
     shares: np.ndarray  # log share of the class that a token at each place has
     prior: np.ndarray  # log frequency of each class
+    rest: np.ndarray  # log of the mean count, in each class, of the tokens without a place
 
 
 class Network(NamedTuple):
@@ -113,10 +117,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     for r in sums:
         mass[r["class"]], kinds[r["class"]] = r["mass"], r["kinds"]
     total = mass + 1 + np.bincount(own, weights=n, minlength=CLASSES)  # one more for what was never seen
-    shares = np.concatenate([np.log(n / total[own]), np.log((mass + 1) / (kinds + 1) / total)])
+    rest = np.log((mass + 1) / (kinds + 1))
+    shares = np.concatenate([np.log(n / total[own]), rest - np.log(total)])
     classes = np.concatenate([own, np.arange(CLASSES)]).astype(np.uint8)
     # places of other tokens follow the real vocabulary, which may be smaller than VOCABULARY
-    return Vocabulary({w: k for k, w in enumerate(words)}, classes, shares, np.log(total / total.sum()))
+    return Vocabulary({w: k for k, w in enumerate(words)}, classes, shares, np.log(total / total.sum()), rest)
 
 
 class _Codes(dict):
@@ -142,14 +147,21 @@ def contexts(classes: np.ndarray) -> np.ndarray:
 
 
 def windows(docs: DataFrame, shared, text_col: str = "text") -> DataFrame:
-    """Training windows of every document, packed: bytes of (four neighbours, token) classes."""
+    """A training window for every token, packed: bytes of (four neighbours, token) classes; and the turn at which they are trained on."""
 
     def take(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         vocab, codes = shared.value, _Codes(shared.value.codes)
         held: list[np.ndarray] = []
+        turns: list[np.ndarray] = []
         n = 0
+
+        def out() -> pa.RecordBatch:
+            rows, turn = np.concatenate(held), np.concatenate(turns)
+            packed = [(rows[turn == k].tobytes(), k) for k in range(SHARE)]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in packed], pa.binary()), pa.array([k for _, k in packed], pa.int32())], names=["packed", "turn"])
+
         for batch in batches:
             for text in batch.column(0):
                 found = tokens(text.as_py())
@@ -157,15 +169,16 @@ def windows(docs: DataFrame, shared, text_col: str = "text") -> DataFrame:
                     continue
                 own = vocab.classes[np.fromiter(map(codes.__getitem__, found), dtype=np.int64, count=len(found))]
                 first = zlib.crc32(found[0].encode("utf-8", "replace") + len(found).to_bytes(8, "little")) % SHARE
-                held.append(np.column_stack([contexts(own), own])[first::SHARE])
-                n += len(held[-1])
-                if n > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["packed"])
-                    held, n = [], 0
+                held.append(np.column_stack([contexts(own), own]))
+                turns.append(((first + np.arange(len(found))) % SHARE).astype(np.uint8))
+                n += len(found)
+                if n > SHARE << 16:
+                    yield out()
+                    held, turns, n = [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["packed"])
+            yield out()
 
-    return written(docs.select(text_col).mapInArrow(take, "packed binary").where(F.octet_length("packed") > 0), "windows")
+    return written(docs.select(text_col).mapInArrow(take, "packed binary, turn int").where(F.octet_length("packed") > 0), "windows")
 
 
 def new_network(prior: np.ndarray, seed: int = 0) -> Network:
@@ -231,7 +244,7 @@ def trained(net: Network, rows: np.ndarray, seed: int) -> Network:
 
 
 def train(packed: DataFrame, net: Network, rounds: int = ROUNDS) -> Network:
-    """The network after ``rounds`` rounds: every partition trains on its windows, then parameters are averaged by windows."""
+    """The network after ``rounds`` rounds: every partition trains on its windows of the round, then parameters are averaged by windows."""
     spark = packed.sparkSession
     sizes = [x.size for x in net]
     for turn in range(rounds):
@@ -250,40 +263,55 @@ def train(packed: DataFrame, net: Network, rounds: int = ROUNDS) -> Network:
             if weight:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), weight))], names=["at", "total", "weight"])
 
-        got = packed.mapInArrow(fit, "at long, total double, weight long").groupBy("at").agg((F.sum("total") / F.sum("weight")).alias("mean")).toPandas()  # a row a parameter
+        got = packed.where(F.col("turn") == turn % SHARE).select("packed").mapInArrow(fit, "at long, total double, weight long").groupBy("at").agg((F.sum("total") / F.sum("weight")).alias("mean")).toPandas()  # a row a parameter
         if len(got) != sum(sizes):
-            return net  # nothing to train on
+            continue  # nothing to train on in this round
         flat = got.sort_values("at")["mean"].to_numpy().astype(np.float32)
         net = Network(*(x.reshape(y.shape) for x, y in zip(np.split(flat, np.cumsum(sizes)[:-1]), net, strict=True)))
     return net
 
 
-def score(docs: DataFrame, vocab, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_prob (the sum over all tokens), mean_log_prob and perplexity of every whole text."""
+def score(docs: DataFrame, vocab, net: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob (the sum over all tokens), mean_log_prob and perplexity of every whole text.
+
+    Tokens that have no place in the vocabulary have their own count in ``counts``; without it, their class's mean.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         codes, v = _Codes(vocab.value.codes), vocab.value
+        places = len(v.codes)
+        kind = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64()), ("mean", pa.float64())]))
         for batch in batches:
-            n, sums = [], []
+            n, sums, rare = [], [], []
             for a in range(0, batch.num_rows, 64):
                 found = [tokens(t.as_py()) for t in batch.column(1).slice(a, 64)]
                 lengths = list(map(len, found))
                 n += lengths
                 if not sum(lengths):
                     sums += [0.0] * len(found)
+                    rare += [[]] * len(found)
                     continue
                 at = [np.fromiter(map(codes.__getitem__, f), dtype=np.int64, count=len(f)) for f in found]
+                for f, x in zip(found, at, strict=True):
+                    others = Counter(f[k] for k in np.flatnonzero(x >= places).tolist())
+                    rare.append([{"token": t, "times": k, "mean": float(v.rest[ending_class(t)])} for t, k in others.items()])
                 own = [v.classes[x] for x in at]
                 p = log_probabilities(shared.value, np.concatenate([contexts(o) for o in own]), np.concatenate(own)) + v.shares[np.concatenate(at)]
                 ends = np.cumsum(lengths)
                 total = np.concatenate([[0.0], np.cumsum(p)])
                 sums += [float(total[e] - total[e - k]) for e, k in zip(ends.tolist(), lengths, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "log_prob"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, kind)], names=["doc_id", "n_tokens", "log_prob", "rare"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, rare array<struct<token: string, times: long, mean: double>>")
+    if counts is not None:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+        met = rows.selectExpr("row as of", "inline(rare)").join(counts, "token")
+        more = met.groupBy("of").agg(F.sum(F.col("times") * (F.log(F.col("n").cast("double")) - F.col("mean"))).alias("more"))
+        rows = rows.join(more, F.col("row") == F.col("of"), "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    rows = rows.select("doc_id", "n_tokens", "log_prob")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return rows.withColumn("mean_log_prob", mean).withColumn("perplexity", F.exp(-mean))
 
@@ -297,7 +325,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = written(token_counts(docs, text_col), "counts")
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(counts))
     net = train(windows(docs, vocab, text_col), new_network(vocab.value.prior))
-    return score(docs, vocab, net, id_col, text_col)
+    return score(docs, vocab, net, id_col, text_col, counts)
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

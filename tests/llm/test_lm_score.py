@@ -98,3 +98,19 @@ def test_marks_are_tokens_of_their_own():
     assert lm.tokens("Word! (word a-b; x_1.") == ["word", "!", "(", "word", "a", "-", "b", ";", "x_1", "."]
     assert lm.tokens("\u4e00\u4e8c\uff0c\u4e09\u3002\u56db") == ["\u4e00\u4e8c", "\uff0c", "\u4e09", "\u3002", "\u56db"]
     assert lm.tokens(None) == lm.tokens(" \n") == []
+
+
+def test_tokens_beyond_the_vocabulary_have_their_own_counts(docs_of, monkeypatch):
+    monkeypatch.setattr(lm, "VOCABULARY", 130)
+    monkeypatch.setattr(lm, "ROUNDS", 2)
+    common = " ".join(f"w{k} " * 5 for k in range(100, 240))
+    rows = [(0, common), (1, "w100 often w101"), (2, "w100 soften w101"), (3, " ".join(["often"] * 2) + " x")]
+    got = {r["doc_id"]: r["log_prob"] for r in lm.pseudo_likelihood(docs_of(rows)).collect()}
+    assert got[1] - got[2] == pytest.approx(math.log(3), abs=1e-6)
+
+
+def test_every_position_has_its_turn(fitted, docs_of):
+    docs = docs_of([(k, f"a{k} b c") for k in range(40)] + [(99, "d " * 50)])
+    got = lm.windows(docs, fitted[2]).collect()
+    assert sum(len(r["packed"]) for r in got) == (40 * 3 + 50) * (len(lm.WINDOW) + 1)
+    assert {r["turn"] for r in got} == set(range(lm.SHARE)) and lm.ROUNDS >= lm.SHARE
