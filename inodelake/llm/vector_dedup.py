@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from inodelake.llm.graph import components
 from inodelake.llm.ngram_join import _grouped
-from inodelake.llm.vectors import common_length, linked_in_blocks, matrix, prepared
+from inodelake.llm.vectors import lengths, linked_in_blocks, matrix, prepared
 from inodelake.runtime import table, written
 
 THRESHOLD = 0.95
@@ -287,15 +287,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Two vectors are linked if their cosine, in double precision, is ``threshold`` or
     more. n_links counts the other vectors linked directly, component_id is the
     smallest id that links lead to, kept tells whether that is the own one, and
-    recall is the share of the audited vectors' links that the search found.
-    Vectors that are null, empty, zero, or hold a null or non-finite number, or that have
-    another length than most, link with nothing. Repeated rows are vectors of
+    recall is the share of the audited vectors' links that the search found, 1 for vectors that link with nothing.
+    Vectors that are null, empty, zero, or hold a null or non-finite number link with
+    nothing, the others with those of their own length, each length in a search of its own. Repeated rows are vectors of
     their own. An empty table gives no rows. Other columns are ignored.
     """
     rows = written(prepared(vectors, id_col, vec_col), "vectors")
-    dims = common_length(rows)
-    rows = rows.withColumn("key", F.when(F.col("dims") == dims, F.col("key")))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
+    id_ = F.col("id")
+    out = rows.where("key is null").select(id_.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), id_.alias("component_id"), (id_ == id_).alias("kept"), F.lit(1.0).alias("recall"))
+    for dims in lengths(rows):
+        out = out.union(_near_rows(rows.where(F.col("dims") == dims), dims, threshold))
+    return out
+
+
+def _near_rows(rows: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """What ``near_vectors`` gives, of vectors of one length."""
+    classes = rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
 
     def single(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -43,10 +43,9 @@ def prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.mapInArrow(prepare, "id long, dims int, key binary, vec binary")
 
 
-def common_length(rows: DataFrame) -> int:
-    """The most frequent number of dimensions, the larger one of equals; 0 without vectors."""
-    got = rows.where("dims is not null").groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
-    return got["dims"] if got else 0
+def lengths(rows: DataFrame) -> list[int]:
+    """The numbers of dimensions that occur."""
+    return sorted(r["dims"] for r in rows.where("dims is not null").select("dims").distinct().collect())  # a row a length
 
 
 def matrix(parts: list[bytes], unit: bool = True, kind: str = "<f8") -> np.ndarray:

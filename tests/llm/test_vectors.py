@@ -141,3 +141,10 @@ def test_links_between_dense_groups_are_found(spark, monkeypatch, recall):
     got = {r["vec_id"]: r for r in vd.near_vectors(frame(spark, rows)).collect()}
     assert [got[k]["n_links"] for k in range(len(rows))] == close.sum(1).tolist()
     assert {got[k]["component_id"] for k in range(80)} == {0}
+
+
+def test_each_length_is_searched(spark):
+    df = frame(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0])])
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vd.near_vectors(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
+    assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id in (3, 4)")).orderBy("query_id", "rank").collect()] == [(3, 1), (3, 2), (4, 5)]
