@@ -14,6 +14,7 @@ read alone and files can be written in one pass over the texts.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -101,7 +102,10 @@ def write_id_files(docs: DataFrame, folder: str, end_id: int = 2, path: str | No
     range-partitioned on it, and a task starts a new file once it holds ``tokens``
     ids. A null or empty text has the end id alone; an empty table gives no
     file; repeated rows are kept as often as they occur; other columns are
-    ignored. Manifest: part, shard, docs, tokens, file.
+    ignored. Texts of any length are encoded whole; one longer than ``tokens`` ids
+    fills a file alone. Manifest: part, shard, stamp, docs, tokens, file. Only the
+    files of tasks that ended well are in it; what a lost or repeated attempt left
+    behind has another ``stamp`` in its name and is not read.
     """
     path = path or word_bpe()
 
@@ -117,51 +121,49 @@ def write_id_files(docs: DataFrame, folder: str, end_id: int = 2, path: str | No
 
         def close() -> None:
             nonlocal shard, n
-            name = f"part-{part:06d}-{shard:06d}.fvb"
-            file = write_file(folder, name, to_bytes(keys, held, end_id))
-            made.append((part, shard, len(held), n, file))
+            stamp = uuid.uuid4().int >> 65
+            file = write_file(folder, f"part-{part:06d}-{shard:06d}-{stamp:016x}.fvb", to_bytes(keys, held, end_id))
+            made.append((part, shard, stamp, len(held), n, file))
             shard, n = shard + 1, 0
             keys.clear()
             held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for key, ids in zip(some.column(0).to_pylist(), codec.encode(some.column(1).to_pylist()), strict=True):
-                    keys.append(key)
-                    held.append(np.append(ids, np.array([end_id], dtype=np.uint16 if end_id < 1 << 16 else np.uint32)))
-                    n += len(held[-1])
-                    if n >= tokens:
-                        close()
+            for key, ids in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1)), strict=True):
+                keys.append(key)
+                held.append(np.append(ids, np.array([end_id], dtype=np.uint16 if end_id < 1 << 16 else np.uint32)))
+                n += len(held[-1])
+                if n >= tokens:
+                    close()
         if held:
             close()
-        cols = list(zip(*made, strict=True)) or [[]] * 5
-        kinds = (("part", pa.int64()), ("shard", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("file", pa.string()))
+        cols = list(zip(*made, strict=True)) or [[]] * 6
+        kinds = (("part", pa.int64()), ("shard", pa.int64()), ("stamp", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("file", pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     placed = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    return written(placed.mapInArrow(write, "part long, shard long, docs long, tokens long, file string"), "manifest")
+    return written(placed.mapInArrow(write, "part long, shard long, stamp long, docs long, tokens long, file string"), "manifest")
 
 
 def read_id_files(manifest: DataFrame, folder: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per document of the files in ``manifest``: its id, start, n_tokens, ids_crc32, and its ids if asked for."""
     spark = manifest.sparkSession
-    schema = "part long, shard long, id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "stamp long, id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part, shard = (int(x) for x in name.rpartition("part-")[2].removesuffix(".fvb").split("-"))
+                stamp = int(name.rpartition("-")[2].removesuffix(".fvb"), 16)
                 keys, lengths, ids = from_bytes(raw.as_buffer().to_pybytes())
                 ends = np.cumsum(lengths, dtype=np.int64)
                 words = ids.astype("<u4")
                 cuts = list(zip((ends - lengths.astype(np.int64)).tolist(), ends.tolist(), strict=True))
-                cols = [[part] * len(keys), [shard] * len(keys), keys, [a for a, _ in cuts], [b - a for a, b in cuts], [zlib.crc32(words[a:b]) for a, b in cuts]]
+                cols = [[stamp] * len(keys), keys, [a for a, _ in cuts], [b - a for a, b in cuts], [zlib.crc32(words[a:b]) for a, b in cuts]]
                 arrays = [pa.array(c, pa.int64()) for c in cols]
-                names = ["part", "shard", "id", "inside", "n_tokens", "ids_crc32"]
+                names = ["stamp", "id", "inside", "n_tokens", "ids_crc32"]
                 if with_ids:
                     arrays.append(pa.array([words[a:b] for a, b in cuts], pa.list_(pa.int64())))
                     names.append("ids")
@@ -173,8 +175,8 @@ def read_id_files(manifest: DataFrame, folder: str, id_col: str = "doc_id", with
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fvb").load(folder)
         docs = files.select("path", "content").mapInArrow(read, schema)
     # a part has no more shards than 2**20 and files are few, so (part, shard) is one number that keeps their order
-    starts = running_start(manifest.select((F.col("part") * (1 << 20) + F.col("shard")).alias("at"), "tokens"), "at", "tokens", "before", 1 << 26)
-    docs = docs.withColumn("at", F.col("part") * (1 << 20) + F.col("shard")).join(starts.select("at", "before"), "at")
+    starts = running_start(manifest.select((F.col("part") * (1 << 20) + F.col("shard")).alias("at"), "stamp", "tokens"), "at", "tokens", "before", 1 << 26)
+    docs = docs.join(starts.select("stamp", "before"), "stamp")
     return docs.select(F.col("id").alias(id_col), (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

@@ -2,24 +2,33 @@
 
 The vocabulary used here drops white space and never merges across it, so the
 ids of a text are the ids of its space-separated chunks, one after another.
-Chunks repeat; each worker process encodes a chunk once and keeps its ids.
+Chunks repeat; each worker process encodes a chunk once and keeps its ids. Whether a
+vocabulary works like that is read from its file; others are encoded text by text.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 #: Chunks remembered per generation and worker process; two generations are kept.
-MEMORY = 600_000
+MEMORY = 400_000
 #: Rows that Python gets at a time.
 BATCH = 1024
+#: Texts whose chunks are told apart at a time.
+SLICE = 1024
 #: Letters followed by ASCII marks other than the apostrophe: the split between both is one the vocabulary's own pattern makes.
 TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:;=?@\[-`{}~]+)\Z")
 END_OF_WORD = "</w>"
+# The steps before the merges under which chunks are independent of each other.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 def word_bpe() -> str:
@@ -29,76 +38,105 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def by_chunks(setup: dict) -> bool:
+    """Whether a tokenizer file's steps are those under which a text's ids are its chunks' ids."""
+    before = (setup.get("normalizer") or {}).get("normalizers"), (setup.get("pre_tokenizer") or {}).get("pretokenizers")
+    plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in setup.get("added_tokens", []))
+    return before == (NORMALIZER, [SPLIT, BYTES]) and plain and setup["model"].get("end_of_word_suffix") == END_OF_WORD and setup.get("truncation") is None
+
+
 class WordTokenizer:
-    """Encodes texts as unsigned 16-bit ids, exactly as ``encode(add_special_tokens=False)`` does."""
+    """Encodes texts as unsigned 16-bit ids (32-bit ones for a larger vocabulary), exactly as ``encode(add_special_tokens=False)`` does."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        if max(vocab.values()) >= 1 << 16:
-            raise ValueError("ids are kept in 16 bits; this vocabulary has larger ones")
-        self.ends = np.zeros(1 << 16, dtype=bool)
+        self.kind = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith(END_OF_WORD)]] = True
+        with open(path, encoding="utf-8") as file:
+            self.chunked = by_chunks(json.load(file))
         self.memory = memory
-        self.young: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only, encoded as one text and cut at the ends of words."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u2")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):  # a letter whose lower case is more than letters
+        if len(ends) != len(words):  # a letter that NFC or the lower case turns into more than letters
             return self._encode(words)
-        raw = ids.tobytes()
-        return [raw[2 * a : 2 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        raw, size = ids.tobytes(), self.kind.itemsize
+        return [raw[size * a : size * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.young) + len(new) > self.memory:
-            self.old, self.young = self.young, {"": b""}
-        know, split, words, rest = self.young, [], set(), []
+    def _learn(self, new: list[str]) -> None:
+        """Add the ids of ``new`` to the young generation."""
+        know, old, split, words, rest = self.young, self.old, [], [], []
         for chunk in new:
-            if (got := self.old.get(chunk)) is not None:
-                know[chunk] = got
-            elif chunk.isalpha():
-                low = chunk.lower() if chunk.isascii() else chunk
-                split.append((chunk, low, ""))
-                words.add(low)
-            elif (m := TAIL.match(chunk)) and m[1].isalpha():
-                low = m[1].lower() if m[1].isascii() else m[1]
-                split.append((chunk, low, m[2]))
-                words.add(low)
-                if m[2] not in know:
-                    rest.append(m[2])
-            else:
-                rest.append(chunk)
-        words = [w for w in words if w not in know]
+            if chunk in old:
+                know[chunk] = old[chunk]
+                continue
+            word, tail = chunk, ""
+            if not chunk.isalpha():
+                m = TAIL.match(chunk)
+                if not m or not m[1].isalpha() or not unicodedata.is_normalized("NFC", m[1]):
+                    rest.append(chunk)
+                    continue
+                word, tail = m.groups()
+                rest.append(tail)
+            low = word.lower() if word.isascii() else word
+            words.append(low)
+            if low is not chunk:
+                split.append((chunk, low, tail))
+        words = [w for w in dict.fromkeys(words) if w not in know]
         know.update(zip(words, self._words(words), strict=True))
-        rest = list(dict.fromkeys(rest))
+        rest = [r for r in dict.fromkeys(rest) if r not in know]
         know.update(zip(rest, self._encode(rest), strict=True))
         for chunk, word, tail in split:
-            know[chunk] = know[word] + know[tail]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text as ``<u2``; None counts as empty."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.young.keys()
+            know[chunk] = know[word] + know[tail] if tail else know[word]
+
+    def encode(self, texts) -> list[np.ndarray]:
+        """Ids of each text of a list or an Arrow column; None counts as empty."""
+        import pyarrow as pa
+
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        return [ids for at in range(0, len(column), SLICE) for ids in self._slice(column.slice(at, SLICE))]
+
+    def _slice(self, column) -> list[np.ndarray]:
+        import pyarrow.compute as pc
+
+        column = pc.fill_null(column, "")
+        if not self.chunked:
+            return [np.frombuffer(x, dtype=self.kind) for x in self._encode(column.to_pylist())]
+        for mark in "\n\t\r":
+            column = pc.replace_substring(column, mark, " ")
+        lists = pc.split_pattern(column, " ")
+        told = lists.flatten().dictionary_encode()
+        distinct = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        know = self.young
+        new = [c for c in distinct if c not in know]
         if new:
             self._learn(new)
-        out = []
-        for chunks in split:
-            try:
-                out.append(np.frombuffer(b"".join(map(self.young.__getitem__, chunks)), dtype="<u2"))
-            except KeyError:  # a new generation has begun within this batch
-                self._learn(set(chunks) - self.young.keys())
-                out.append(np.frombuffer(b"".join(map(self.young.__getitem__, chunks)), dtype="<u2"))
-        return out
+        parts = [know[c] for c in distinct]
+        if len(know) > self.memory:  # never within a slice: all its chunks are at hand
+            self.old, self.young = know, {}
+        # the ids of all chunks, gathered from those of the distinct ones
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.kind.itemsize
+        every = np.frombuffer(b"".join(parts), dtype=self.kind)
+        first = np.cumsum(size) - size
+        at = told.indices.to_numpy()
+        length = size[at]
+        ends = np.cumsum(length)
+        ids = every[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - ends + length, length)]
+        cuts = np.concatenate([[0], ends])[np.cumsum(lists.value_lengths().to_numpy())[:-1]]
+        return np.split(ids, cuts)
 
 
 @cache

@@ -1,3 +1,5 @@
+import json
+import unicodedata
 import zlib
 
 import numpy as np
@@ -36,6 +38,39 @@ def test_real_texts_give_the_librarys_ids(spark, codec, plain):
     assert all(a.tolist() == plain(t) for a, t in zip(codec.encode(texts), texts, strict=True))
 
 
+def test_letters_that_normalization_takes_apart(codec, plain):
+    changed = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c.isalpha() and unicodedata.normalize("NFC", c) != c]
+    assert len(changed) > 500
+    texts = [f"{a}{c}{mark} {c}{a} x{mark}" for c in changed for a in ("", "a", "\u05d0") for mark in ("-", "!)", ".", "_")]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == plain(text), ascii(text)
+
+
+@pytest.mark.parametrize("memory", [150_000, 600_000])
+def test_more_new_words_than_memory_beside_old_ones(plain, memory):
+    codec = WordTokenizer(PATH, memory=memory)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[k // 26**i % 26] for i in range(4))
+    n = memory // 250
+    codec.encode(["common words, that stay"])
+    for turn in range(2):
+        texts = ["common words, that stay " + " ".join(word(turn * 7919 + k) + "q" * (k % 3) for k in range(t * n, t * n + n)) for t in range(256)]
+        got = codec.encode(texts)
+        for t in (0, 100, 255):
+            assert got[t].tolist() == plain(texts[t])
+    assert codec.encode(["common words, that stay"])[0].tolist() == plain("common words, that stay")
+
+
+def test_other_vocabularies_are_left_to_the_library(tmp_path):
+    setup = json.loads(Tokenizer.from_file(PATH).to_str())
+    setup["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[a-z]+\\.|."}
+    (tmp_path / "other.json").write_text(json.dumps(setup))
+    texts = ["One two. three", None, "", "a.b c.", " x"]
+    other = Tokenizer.from_file(str(tmp_path / "other.json"))
+    got = WordTokenizer(str(tmp_path / "other.json")).encode(texts)
+    assert [g.tolist() for g in got] == [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**17), max_size=300))
 def test_packing_is_lossless(ids):
