@@ -1,14 +1,20 @@
 """Masked pseudo-likelihood: every token is predicted from the tokens on both sides.
 
-A small window network, trained in numpy, gives the class of a token from the
-classes of its two left and two right neighbours; a token's share of its class
-comes from its count in the whole corpus. The sum of the conditional
-log-probabilities of all tokens scores a document.
-
-Counts cover every document and every token: those of the most frequent tokens are
-at hand in each task, those of the others are joined to their occurrences. Every
-position of every document is a training window in one of the rounds; each
-partition trains on its own windows of a round and the parameters are averaged, round by round.
+Two window networks, trained in numpy, predict a token: one from its two nearest
+neighbours, one from the two behind those. A network is log-bilinear: the classes of
+the neighbours have embeddings, whose sum is multiplied with an embedding of each
+token, and a softmax over all tokens follows; the networks' probabilities are mixed.
+The sum of the log-probabilities of all tokens scores a document.
+
+A log-likelihood of this kind depends on the corpus only through counts: how often a
+token stands beside a class, and a class beside another. These are counted over every
+position of every document and summed by Spark; their number is bounded by the model,
+not by the corpus. So each step of training is the gradient over all positions,
+its softmaxes dealt to tasks by context.
+
+Tokens too rare for an embedding share one by their ending. Their own counts, over
+all documents, are joined to their occurrences; what a document holds itself is left
+out of them, so a token that no other document has counts as half an occurrence.
 """
 
 from __future__ import annotations
@@ -23,41 +29,43 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inodelake.llm.tokens import small_batches
 from inodelake.runtime import table, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Tokens whose shares are at hand in each task; the others' are joined from the counts. Tokens with an own class, and classes of the others by ending.
-VOCABULARY, OWN, ENDINGS = 30_000, 112, 80
-#: Context positions, and the sizes of embeddings and of the hidden layer.
-WINDOW, DIM, HIDDEN = (-2, -1, 1, 2), 24, 24
-#: In each round of averaging one in SHARE positions of every document is a training window, another one each time.
-SHARE = ROUNDS = 16
-#: Passes in a round, windows in a step, step size.
-PASSES, STEP, RATE = 2, 256, 0.08
-CLASSES = OWN + ENDINGS
-EDGE = CLASSES  # the class of positions before and after a document
-#: Distinct tokens that a worker counts or remembers before it hands them on.
-MEMORY = 300_000
-#: Tokens scored at a time: their class scores stay in a processor's cache.
-BLOCK = 2048
-#: Class scores up to this size can be exponentiated as they are.
-SAFE = 80.0
+#: The most tokens with an embedding of their own, and the least count of one.
+PLACES, LEAST = 30_000, 8
+#: Classes of neighbours: the most frequent tokens, endings of the others, and what is beyond a document's edge.
+OWN, ENDINGS = 72, 23
+EDGE = OWN + ENDINGS
+CLASSES = EDGE + 1
+#: The neighbours that each network looks at, the first network's share in the mixture, and the size of an embedding.
+PAIRS, INNER, DIM = ((-1, 1), (-2, 2)), 0.75, 16
+#: Steps of training, their size, and tasks of a step.
+STEPS, RATE, TASKS = 8, 0.06, 16
+#: Counts are shrunk towards independence by this many occurrences before the first embeddings are taken from them.
+SHRINK = 5.0
+#: Distinct tokens that a worker counts or remembers before it hands them on; tokens looked at together.
+MEMORY, BLOCK = 300_000, 1 << 20
+FAR = max(abs(k) for pair in PAIRS for k in pair)
 
 
 class Vocabulary(NamedTuple):
-    codes: dict[str, int]  # token to place; other tokens have the place VOCABULARY + class
-    classes: np.ndarray  # of each place
-    shares: np.ndarray  # log share of the class that a token at each place has
-    prior: np.ndarray  # log frequency of each class
-    rest: np.ndarray  # log of the mean count, in each class, of the tokens without a place
+    codes: dict[str, int]  # token to unit; other tokens' units are len(codes) + ending
+    classes: np.ndarray  # of each unit
 
 
 class Network(NamedTuple):
-    inputs: np.ndarray  # class (and edge), DIM
-    hidden: np.ndarray  # position, DIM, HIDDEN
-    shift: np.ndarray  # HIDDEN
-    out: np.ndarray  # HIDDEN, class
-    bias: np.ndarray  # class
+    left: np.ndarray  # class, DIM
+    right: np.ndarray  # class, DIM
+    out: np.ndarray  # unit, DIM
+    bias: np.ndarray  # unit
+
+
+class Counts(NamedTuple):
+    left: np.ndarray  # class, unit
+    right: np.ndarray  # class, unit
+    pairs: np.ndarray  # class on the left, class on the right
 
 
 def tokens(text: str | None) -> list[str]:
@@ -65,9 +73,9 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def ending_class(token: str) -> int:
-    """The class of a token without an own one: by its last two characters."""
-    return OWN + zlib.crc32(token[-2:].encode("utf-8", "replace")) % ENDINGS
+def ending(token: str) -> int:
+    """The group of a token by its last two characters."""
+    return zlib.crc32(token[-2:].encode("utf-8", "replace")) % ENDINGS
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -77,10 +85,7 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         import pyarrow as pa
 
         seen: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([t.encode("utf-8", "replace").decode() for t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
-
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
         for batch in batches:
             for text in batch.column(0):
                 seen.update(tokens(text.as_py()))
@@ -89,43 +94,27 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     seen.clear()
         yield out()
 
-    return docs.select(text_col).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select(text_col).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The model's tokens from the written counts: the most frequent ones, and for each class the mass and number of the others."""
-    top = counts.orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()  # VOCABULARY rows at most
-    words = [r["token"] for r in top]
-    n = np.array([r["n"] for r in top], dtype=np.float64)
-    own = np.array([k if k < OWN else ending_class(w) for k, w in enumerate(words)], dtype=np.int64)
-    known = counts.sparkSession.sparkContext.broadcast(set(words))
-
-    def rest(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        mass, kinds = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
-        for batch in batches:
-            for token, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if token not in known.value:
-                    c = ending_class(token)
-                    mass[c] += k
-                    kinds[c] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(mass), pa.array(kinds)], names=["class", "mass", "kinds"])
-
-    sums = counts.mapInArrow(rest, "class long, mass long, kinds long").groupBy("class").agg(F.sum("mass").alias("mass"), F.sum("kinds").alias("kinds")).collect()  # a row a class
-    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in sums:
-        mass[r["class"]], kinds[r["class"]] = r["mass"], r["kinds"]
-    total = mass + 1 + np.bincount(own, weights=n, minlength=CLASSES)  # one more for what was never seen
-    rest = np.log((mass + 1) / (kinds + 1))
-    shares = np.concatenate([np.log(n / total[own]), rest - np.log(total)])
-    classes = np.concatenate([own, np.arange(CLASSES)]).astype(np.uint8)
-    # places of other tokens follow the real vocabulary, which may be smaller than VOCABULARY
-    return Vocabulary({w: k for k, w in enumerate(words)}, classes, shares, np.log(total / total.sum()), rest)
+    """The PLACES most frequent tokens of the written counts that occur LEAST times or more."""
+    bucket = F.floor(F.log2("n") * 8)
+    sizes = sorted((r["bucket"], r["m"]) for r in counts.where(F.col("n") >= LEAST).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("m")).collect())  # 512 rows at most
+    total, low = 0, 0
+    while sizes and total < PLACES:
+        low, m = sizes.pop()
+        total += m
+    # little more than PLACES rows are left for the sort, whatever the number of partitions
+    some = counts.where((F.col("n") >= LEAST) & (bucket >= low))
+    top = written(some.orderBy(F.desc("n"), "token").limit(PLACES), "vocabulary").collect()  # PLACES rows at most
+    words = [r["token"] for r in sorted(top, key=lambda r: (-r["n"], r["token"]))]
+    classes = [k if k < OWN else OWN + ending(w) for k, w in enumerate(words)] + [OWN + k for k in range(ENDINGS)]
+    return Vocabulary({w: k for k, w in enumerate(words)}, np.array(classes, dtype=np.uint8))
 
 
 class _Codes(dict):
-    """Places of tokens, remembered for the tokens that a worker meets."""
+    """Units of tokens, remembered for the tokens that a worker meets."""
 
     def __init__(self, known: dict[str, int]):
         super().__init__(known)
@@ -135,197 +124,257 @@ class _Codes(dict):
         if len(self) > self.n + MEMORY:
             self.clear()
             self.update(self.known)
-        self[token] = at = self.n + ending_class(token)
+        self[token] = at = self.n + ending(token)
         return at
 
 
-def contexts(classes: np.ndarray) -> np.ndarray:
-    """The classes around every token of a document, a column per position of WINDOW."""
-    far = max(map(abs, WINDOW))
-    padded = np.concatenate([np.full(far, EDGE, dtype=np.uint8), classes, np.full(far, EDGE, dtype=np.uint8)])
-    return np.stack([padded[far + k : far + k + len(classes)] for k in WINDOW], axis=1)
+def coded(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, units (16 bits each) and rare (token, times) of every document, written to the shared folder."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def windows(docs: DataFrame, shared, text_col: str = "text") -> DataFrame:
-    """A training window for every token, packed: bytes of (four neighbours, token) classes; and the turn at which they are trained on."""
+        codes = _Codes(shared.value.codes)
+        kind = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())]))
+        for batch in batches:
+            units, rare = [], []
+            for text in batch.column(1):
+                found = tokens(text.as_py())
+                at = np.fromiter(map(codes.__getitem__, found), dtype="<u2", count=len(found))
+                units.append(at.tobytes())
+                others = Counter(found[k] for k in np.flatnonzero(at >= codes.n).tolist())
+                rare.append([{"token": t, "times": k} for t, k in others.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary()), pa.array(rare, kind)], names=["doc_id", "units", "rare"])
 
-    def take(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(run, "doc_id long, units binary, rare array<struct<token: string, times: long>>")
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), "coded")
 
-        vocab, codes = shared.value, _Codes(shared.value.codes)
+
+def _blocks(batches: Iterator, column: int) -> Iterator[tuple[list[np.ndarray], object]]:
+    """The units of the documents of a batch, about BLOCK at a time, and the batch's slice they are from."""
+    for batch in batches:
+        at, n = 0, 0
         held: list[np.ndarray] = []
-        turns: list[np.ndarray] = []
-        n = 0
+        for k, raw in enumerate(batch.column(column)):
+            held.append(np.frombuffer(raw.as_buffer(), dtype="<u2"))
+            n += len(held[-1])
+            if n >= BLOCK or k == batch.num_rows - 1:
+                yield held, batch.slice(at, len(held))
+                at, n, held = k + 1, 0, []
+
+
+def contexts(docs: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """All units of some documents, one after another, and the class at each distance from them."""
+    sizes = np.array([len(d) for d in docs])
+    units = np.concatenate(docs).astype(np.int64)
+    place = np.arange(len(units)) + np.repeat(FAR * np.arange(1, len(docs) + 1), sizes)
+    padded = np.full(len(units) + FAR * (len(docs) + 1), EDGE, dtype=np.int64)
+    padded[place] = classes[units]
+    return units, {k: padded[place + k] for pair in PAIRS for k in pair}
 
-        def out() -> pa.RecordBatch:
-            rows, turn = np.concatenate(held), np.concatenate(turns)
-            packed = [(rows[turn == k].tobytes(), k) for k in range(SHARE)]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in packed], pa.binary()), pa.array([k for _, k in packed], pa.int32())], names=["packed", "turn"])
 
+def counted(rows: DataFrame, shared) -> DataFrame:
+    """at and n: how often each pair of a unit and a neighbour's class, and of two neighbours' classes, occurs; over all positions of ``rows``."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        classes = shared.value.classes
+        size = CLASSES * len(classes)
+        sums = [np.zeros(n, dtype=np.int64) for _ in PAIRS for n in (size, size, CLASSES * CLASSES)]
+        for docs, _ in _blocks(batches, 0):
+            units, near = contexts(docs, classes)
+            for k, (a, b) in enumerate(PAIRS):
+                for s, at in enumerate((near[a] * len(classes) + units, near[b] * len(classes) + units, near[a] * CLASSES + near[b])):
+                    sums[3 * k + s] += np.bincount(at, minlength=len(sums[3 * k + s]))
+        first = 0
+        for x in sums:
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(at + first), pa.array(x[at])], names=["at", "n"])
+            first += len(x)
+
+    # a task's counts fill up, so fewer tasks than files have fewer rows to sum
+    few = rows.select("units").coalesce(max(1, rows.rdd.getNumPartitions() // 4))
+    return few.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def gathered(cells: DataFrame, units: int) -> list[Counts]:
+    """The summed counts of ``counted`` as matrices: a row of ``units`` numbers for each class comes to the driver, whatever the corpus."""
+    size = 2 * CLASSES * units + CLASSES * CLASSES  # of one network
+    inside = F.col("at") % size
+
+    def dense(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        rows: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text in batch.column(0):
-                found = tokens(text.as_py())
-                if not found:
-                    continue
-                own = vocab.classes[np.fromiter(map(codes.__getitem__, found), dtype=np.int64, count=len(found))]
-                first = zlib.crc32(found[0].encode("utf-8", "replace") + len(found).to_bytes(8, "little")) % SHARE
-                held.append(np.column_stack([contexts(own), own]))
-                turns.append(((first + np.arange(len(found))) % SHARE).astype(np.uint8))
-                n += len(found)
-                if n > SHARE << 16:
-                    yield out()
-                    held, turns, n = [], [], 0
-        if held:
-            yield out()
-
-    return written(docs.select(text_col).mapInArrow(take, "packed binary, turn int").where(F.octet_length("packed") > 0), "windows")
-
-
-def new_network(prior: np.ndarray, seed: int = 0) -> Network:
-    rng = np.random.default_rng(seed)
-    draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return Network(draw(CLASSES + 1, DIM), draw(len(WINDOW), DIM, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, CLASSES), prior.astype(np.float32))
-
-
-def log_probabilities(net: Network, around: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Of each token's class, given the classes around it."""
-    parts = [net.inputs @ w for w in net.hidden]  # the hidden layer's sum, by position and class
-    last = np.vstack([net.out, net.bias[None, :]])  # a hidden unit that is always 1 adds the bias
-    safe = np.abs(last).sum(0).max() < SAFE
-    ones = np.ones(last.shape[1], dtype=np.float32)
-    out = np.empty(len(own))
-    h = np.ones((min(BLOCK, len(own)), len(last)), dtype=np.float32)
-    for a in range(0, len(own), BLOCK):
-        some = around[a : a + BLOCK]
-        n = len(some)
-        x = parts[0][some[:, 0]] + net.shift
-        for k in range(1, len(parts)):
-            x += parts[k][some[:, k]]
-        np.tanh(x, out=h[:n, :-1])
-        z = h[:n] @ last
-        if not safe:
-            z -= z.max(1, keepdims=True)
-        mine = z[np.arange(n), own[a : a + BLOCK]]
-        out[a : a + BLOCK] = mine - np.log(np.exp(z, out=z) @ ones)
+            line, at, n = (c.to_numpy() for c in batch.columns)
+            for one in np.unique(line).tolist():
+                own = rows.setdefault(one, np.zeros(units, dtype=np.float32))
+                own[at[line == one]] = n[line == one]
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([r.tobytes() for r in rows.values()], pa.binary())], names=["line", "counts"])
+
+    cells = written(cells, "cells")
+    network = F.expr(f"at div {size}")
+    tables = cells.where(inside < 2 * CLASSES * units).select((network * 2 * CLASSES + F.expr(f"(at % {size}) div {units}")).alias("line"), (inside % units).alias("unit"), "n")
+    tables = tables.repartition("line").mapInArrow(dense, "line long, counts binary").collect()  # a row a class, side and network
+    pairs = cells.where(inside >= 2 * CLASSES * units).select(network.alias("network"), (inside - 2 * CLASSES * units).alias("pair"), "n").collect()  # the square of CLASSES rows a network
+    out = [Counts(np.zeros((CLASSES, units), np.float32), np.zeros((CLASSES, units), np.float32), np.zeros((CLASSES, CLASSES))) for _ in PAIRS]
+    for r in tables:
+        network, line = divmod(r["line"], 2 * CLASSES)
+        out[network][line // CLASSES][line % CLASSES] = np.frombuffer(r["counts"], dtype=np.float32)
+    for r in pairs:
+        out[r["network"]].pairs.flat[r["pair"]] = r["n"]
     return out
 
 
-def trained(net: Network, rows: np.ndarray, seed: int) -> Network:
-    """``net`` after PASSES passes of adaptive gradient steps over windows ``rows``."""
-    rng = np.random.default_rng(seed)
-    p = [x.astype(np.float32).copy() for x in net]
-    p[1] = p[1].reshape(-1, p[1].shape[-1])  # all positions' inputs side by side
-    sums = [np.full(x.shape, 1e-2, dtype=np.float32) for x in p]
-    width = len(WINDOW)
-    for _ in range(PASSES):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(order), STEP):
-            some = rows[order[a : a + STEP]]
-            around, own = some[:, :-1], some[:, -1]
-            n = np.arange(len(own))
-            x = p[0][around].reshape(len(own), -1)
-            h = np.tanh(x @ p[1] + p[2])
-            z = h @ p[3] + p[4]
-            np.exp(z - z.max(1, keepdims=True), out=z)
-            z /= z.sum(1, keepdims=True)
-            z[n, own] -= 1
-            z /= len(own)
-            dh = (z @ p[3].T) * (1 - h * h)
-            dx = dh @ p[1].T
-            # which class stands at which place: the inputs' gradients are summed by a product
-            at = np.zeros((len(own) * width, len(p[0])), dtype=np.float32)
-            at[np.arange(len(at)), around.ravel()] = 1
-            grads = (at.T @ dx.reshape(len(at), -1), x.T @ dh, dh.sum(0), h.T @ z, z.sum(0))
-            for k, g in enumerate(grads):
-                sums[k] += g * g
-                p[k] -= RATE * g / np.sqrt(sums[k])
-    p[1] = p[1].reshape(net.hidden.shape)
-    return Network(*p)
-
-
-def train(packed: DataFrame, net: Network, rounds: int = ROUNDS) -> Network:
-    """The network after ``rounds`` rounds: every partition trains on its windows of the round, then parameters are averaged by windows."""
-    spark = packed.sparkSession
-    sizes = [x.size for x in net]
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(net)
-
-        def fit(batches: Iterator, shared=shared, turn=turn) -> Iterator:
-            import pyarrow as pa
-
-            total, weight = np.zeros(sum(sizes)), 0
-            for batch in batches:
-                for row in batch.column(0):
-                    rows = np.frombuffer(row.as_py(), dtype=np.uint8).reshape(-1, len(WINDOW) + 1)
-                    after = trained(shared.value, rows, turn)
-                    total += np.concatenate([x.ravel() for x in after]) * float(len(rows))
-                    weight += len(rows)
-            if weight:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), weight))], names=["at", "total", "weight"])
-
-        got = packed.where(F.col("turn") == turn % SHARE).select("packed").mapInArrow(fit, "at long, total double, weight long").groupBy("at").agg((F.sum("total") / F.sum("weight")).alias("mean")).toPandas()  # a row a parameter
-        if len(got) != sum(sizes):
-            continue  # nothing to train on in this round
-        flat = got.sort_values("at")["mean"].to_numpy().astype(np.float32)
-        net = Network(*(x.reshape(y.shape) for x, y in zip(np.split(flat, np.cumsum(sizes)[:-1]), net, strict=True)))
-    return net
-
-
-def score(docs: DataFrame, vocab, net: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_tokens, log_prob (the sum over all tokens), mean_log_prob and perplexity of every whole text.
-
-    Tokens that have no place in the vocabulary have their own count in ``counts``; without it, their class's mean.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+def first_network(c: Counts) -> Network:
+    """Embeddings by the leading directions of the counts' pointwise mutual information, weighted by frequency; the bias is the log frequency."""
+    n = c.left.sum(0) + 0.5
+    share = n / n.sum()
+    beside = np.concatenate([c.left, c.right])
+    often = beside.sum(1, dtype=np.float64)
+    info = np.log((beside + SHRINK) / (often[:, None] * share + SHRINK)).astype(np.float32)
+    rows, cols = np.sqrt(often / max(1.0, often.sum())), np.sqrt(share)
+    info *= rows[:, None] * cols
+    values, vectors = np.linalg.eigh((info @ info.T).astype(np.float64))
+    values, vectors = np.sqrt(np.maximum(values[-DIM:], 1e-12)), vectors[:, -DIM:]
+    near = np.where(rows[:, None] > 0, vectors * np.sqrt(values) / np.maximum(rows, 1e-9)[:, None], 0)
+    out = (info.T @ vectors) / np.sqrt(values) / cols[:, None]
+    return Network(*(x.astype(np.float32) for x in (near[:CLASSES], near[CLASSES:], out, np.log(share))))
+
+
+def _softmaxes(net: Network, pairs: np.ndarray, left: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For the contexts with class ``left`` on the left: the logs of the softmaxes' sums, and the expected counts' gradients."""
+    h = net.left[left] + net.right
+    p = h @ net.out.T
+    p += net.bias
+    top = p.max(1, keepdims=True)
+    p -= top
+    np.exp(p, out=p)
+    sums = p.sum(1)
+    p *= (pairs[left] / sums).astype(np.float32)[:, None]
+    near = p @ net.out
+    return top[:, 0] + np.log(sums), [near.sum(0), near, p.T @ h, p.sum(0)]
+
+
+def expected(spark, nets: list[Network], pairs: list[np.ndarray]) -> tuple[list[np.ndarray], list[Network]]:
+    """For each network the log of every context's softmax sum, and the gradient of its expected counts; contexts are dealt to TASKS tasks."""
+    shared = spark.sparkContext.broadcast((nets, pairs))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        codes, v = _Codes(vocab.value.codes), vocab.value
-        places = len(v.codes)
-        kind = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64()), ("mean", pa.float64())]))
+        nets, pairs = shared.value
+        grads: dict[int, list[np.ndarray]] = {}
+        rows = []
         for batch in batches:
-            n, sums, rare = [], [], []
-            for a in range(0, batch.num_rows, 64):
-                found = [tokens(t.as_py()) for t in batch.column(1).slice(a, 64)]
-                lengths = list(map(len, found))
-                n += lengths
-                if not sum(lengths):
-                    sums += [0.0] * len(found)
-                    rare += [[]] * len(found)
-                    continue
-                at = [np.fromiter(map(codes.__getitem__, f), dtype=np.int64, count=len(f)) for f in found]
-                for f, x in zip(found, at, strict=True):
-                    others = Counter(f[k] for k in np.flatnonzero(x >= places).tolist())
-                    rare.append([{"token": t, "times": k, "mean": float(v.rest[ending_class(t)])} for t, k in others.items()])
-                own = [v.classes[x] for x in at]
-                p = log_probabilities(shared.value, np.concatenate([contexts(o) for o in own]), np.concatenate(own)) + v.shares[np.concatenate(at)]
-                ends = np.cumsum(lengths)
-                total = np.concatenate([[0.0], np.cumsum(p)])
-                sums += [float(total[e] - total[e - k]) for e, k in zip(ends.tolist(), lengths, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, kind)], names=["doc_id", "n_tokens", "log_prob", "rare"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, rare array<struct<token: string, times: long, mean: double>>")
-    if counts is not None:
-        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-        met = rows.selectExpr("row as of", "inline(rare)").join(counts, "token")
-        more = met.groupBy("of").agg(F.sum(F.col("times") * (F.log(F.col("n").cast("double")) - F.col("mean"))).alias("more"))
-        rows = rows.join(more, F.col("row") == F.col("of"), "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
-    rows = rows.select("doc_id", "n_tokens", "log_prob")
+            for at in batch.column(0).to_pylist():
+                k, left = divmod(at, CLASSES)
+                log, (own, right, out, bias) = _softmaxes(nets[k], pairs[k], left)
+                rows.append((at, log.astype(np.float64).tobytes()))
+                totals = grads.setdefault(k, [np.zeros(x.shape) for x in nets[k]])
+                for total, x in zip(totals, (0, right, out, bias), strict=True):
+                    total += x
+                totals[0][left] += own
+        rows += [(-1 - k, np.concatenate([x.ravel() for x in g]).astype(np.float32).tobytes()) for k, g in grads.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["at", "numbers"])
+
+    got = spark.range(0, len(nets) * CLASSES, 1, TASKS).mapInArrow(run, "at long, numbers binary").collect()  # a row a class, and TASKS gradients
+    logs = [np.zeros((CLASSES, CLASSES)) for _ in nets]
+    flat = [np.zeros(sum(x.size for x in net)) for net in nets]
+    for r in got:
+        if r["at"] < 0:
+            flat[-1 - r["at"]] += np.frombuffer(r["numbers"], dtype=np.float32)
+        else:
+            logs[r["at"] // CLASSES][r["at"] % CLASSES] = np.frombuffer(r["numbers"], dtype=np.float64)
+    shared.unpersist()
+    parts = [np.split(f, np.cumsum([x.size for x in net])[:-1]) for f, net in zip(flat, nets, strict=True)]
+    return logs, [Network(*(x.reshape(y.shape) for x, y in zip(part, net, strict=True))) for part, net in zip(parts, nets, strict=True)]
+
+
+def train(spark, counts: list[Counts], steps: int = STEPS) -> tuple[list[Network], list[np.ndarray], list[float]]:
+    """Networks, the logs of their softmax sums, and the mean log-likelihood of all positions before each step and at the end."""
+    nets = [first_network(c) for c in counts]
+    moments = [[(np.zeros(x.shape), np.zeros(x.shape)) for x in net] for net in nets]
+    total = max(1.0, float(counts[0].pairs.sum()))
+    best, history = None, []
+    for step in range(steps + 1):
+        logs, minus = expected(spark, nets, [c.pairs for c in counts])
+        fits, plus = [], []
+        for net, c, log in zip(nets, counts, logs, strict=True):
+            by_left, by_right, n = c.left.T @ net.left, c.right.T @ net.right, c.left.sum(0)
+            fits.append(float((((by_left + by_right) * net.out).sum() + n @ net.bias - (c.pairs * log).sum()) / total))
+            plus.append(Network(c.left @ net.out, c.right @ net.out, by_left + by_right, n))
+        history.append(sum(fits))
+        if best is None or history[-1] > best[0]:
+            best = history[-1], nets, logs
+        if step == steps:
+            break
+        moved = []
+        for net, up, down, held in zip(nets, plus, minus, moments, strict=True):
+            new = []
+            for x, p, m, (one, two) in zip(net, up, down, held, strict=True):
+                g = (p - m) / total
+                one += 0.2 * (g - one)
+                two += 0.05 * (g * g - two)
+                scale = np.sqrt(two / (1 - 0.95 ** (step + 1))) + 1e-9
+                new.append((x + RATE * (one / (1 - 0.8 ** (step + 1))) / scale).astype(np.float32))
+            moved.append(Network(*new))
+        nets = moved
+    return best[1], best[2], history
+
+
+def score(rows: DataFrame, counts: DataFrame, vocab, nets: list[Network], logs: list[np.ndarray], n_units: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, log_prob (the sum over all tokens), mean_log_prob, perplexity and n_unseen of every row of ``coded``.
+
+    ``counts`` has the exact counts of all tokens, ``n_units`` those of the units.
+    """
+    places = len(vocab.value.codes)
+    share = np.where(np.arange(len(n_units)) < places, 0.0, -np.log(n_units + 1.0))
+    shared = rows.sparkSession.sparkContext.broadcast((nets, logs, share))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        nets, logs, share = shared.value
+        size = len(share)
+        tables = [((net.left @ net.out.T).ravel(), (net.right @ net.out.T + net.bias).ravel(), log.astype(np.float32).ravel()) for net, log in zip(nets, logs, strict=True)]
+        for docs, batch in _blocks(batches, 2):
+            units, near = contexts(docs, vocab.value.classes)
+            parts = [lefts[near[a] * size + units] + rights[near[b] * size + units] - norm[near[a] * CLASSES + near[b]] for (a, b), (lefts, rights, norm) in zip(PAIRS, tables, strict=True)]
+            p = np.logaddexp(parts[0] + np.float32(np.log(INNER)), parts[1] + np.float32(np.log(1 - INNER))) + share[units]
+            n = np.array([len(d) for d in docs], dtype=np.int64)
+            ends = np.cumsum(n)
+            sums = np.concatenate([[0.0], np.cumsum(p, dtype=np.float64)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n), pa.array(np.where(n > 0, sums[ends] - sums[ends - n], 0.0))], names=["row", "doc_id", "n_tokens", "log_prob"])
+
+    scored = rows.select("row", "doc_id", "units").mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double")
+    met = rows.selectExpr("row as of", "inline(rare)").join(counts, "token")
+    others = F.greatest((F.col("n") - F.col("times")).cast("double"), F.lit(0.5))
+    more = met.groupBy("of").agg(F.sum(F.col("times") * F.log(others)).alias("more"), F.sum(F.when(F.col("n") <= F.col("times"), F.col("times")).otherwise(0)).alias("alone"))
+    out = scored.join(more, F.col("row") == F.col("of"), "left")
+    out = out.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"), F.coalesce("alone", F.lit(0)).cast("long").alias("n_unseen"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
-    return rows.withColumn("mean_log_prob", mean).withColumn("perplexity", F.exp(-mean))
+    return out.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"), "n_unseen")
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Count, train and score: doc_id, n_tokens, log_prob, mean_log_prob, perplexity of every document.
+    """Count, train and score: doc_id, n_tokens, log_prob, mean_log_prob, perplexity and n_unseen of every document.
 
-    Null, empty and blank texts have no tokens: log_prob 0, mean and perplexity null. Repeated rows count as often
-    as they occur and get equal scores, but for rounding. An empty table gives no rows. Other columns are ignored.
+    n_unseen is the number of its tokens that no other document has (of those without an embedding of their own).
+    Null, empty and blank texts have no tokens: log_prob 0, mean and perplexity null. Texts of any length are read
+    whole. Repeated rows count as often as they occur and get equal scores, but for rounding. An empty table gives no
+    rows. Other columns are ignored, whatever their names.
     """
+    spark = docs.sparkSession
     counts = written(token_counts(docs, text_col), "counts")
-    vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(counts))
-    net = train(windows(docs, vocab, text_col), new_network(vocab.value.prior))
-    return score(docs, vocab, net, id_col, text_col, counts)
+    vocab = spark.sparkContext.broadcast(vocabulary(counts))
+    rows = coded(docs, vocab, id_col, text_col)
+    beside = gathered(counted(rows, vocab), len(vocab.value.classes))
+    nets, logs, _ = train(spark, beside)
+    return score(rows, counts, vocab, nets, logs, beside[0].left.sum(0, dtype=np.float64))
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from inodelake.llm import lm_score as lm
+from inodelake.llm.queries import QUERIES
 from inodelake.runtime import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -14,72 +16,134 @@ def fitted(spark):
     docs = table(spark, SF, "documents")
     counts = written(lm.token_counts(docs), "counts")
     vocab = spark.sparkContext.broadcast(lm.vocabulary(counts))
-    start = lm.new_network(vocab.value.prior)
-    packed = lm.windows(docs, vocab)
-    return docs, counts, vocab, start, lm.train(packed, start), packed
+    beside = lm.gathered(lm.counted(lm.coded(docs, vocab), vocab), len(vocab.value.classes))
+    return docs, counts, vocab.value, beside, lm.train(spark, beside)
+
+
+def units_of(v, found):
+    return [v.codes.get(t, len(v.codes) + lm.ending(t)) for t in found]
+
+
+def around(v, units, i, k):
+    return v.classes[units[i + k]] if 0 <= i + k < len(units) else lm.EDGE
+
+
+def probabilities(nets, near):
+    """Of all units, between the classes ``near`` (left and right of each network)."""
+    total = 0
+    for net, (a, b), weight in zip(nets, near, (lm.INNER, 1 - lm.INNER), strict=True):
+        z = (net.left[a].astype(float) + net.right[b]) @ net.out.T + net.bias
+        total = total + weight * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return total
 
 
 def test_counts_cover_every_token(fitted):
     docs, counts, *_ = fitted
-    want = {}
-    for r in docs.select("text").collect():
-        for t in lm.tokens(r["text"]):
-            want[t] = want.get(t, 0) + 1
+    want = Counter(t for r in docs.select("text").collect() for t in lm.tokens(r["text"]))
     assert {r["token"]: r["n"] for r in counts.collect()} == want
 
 
-def test_shares_sum_to_one_in_each_class(fitted):
-    v = fitted[2].value
-    n = len(v.codes)
-    for c in range(lm.CLASSES):
-        known = np.exp(v.shares[:n][v.classes[:n] == c]).sum()
-        assert known <= 1.0 + 1e-9
-    assert np.exp(v.prior).sum() == pytest.approx(1)
-
-
-def test_scores_equal_brute_force(fitted):
-    docs, _, vocab, _, net, _ = fitted
-    v = vocab.value
+def test_every_position_is_trained_on(fitted):
+    docs, counts, v, beside, _ = fitted
+    want = [Counter() for _ in lm.PAIRS]
+    units = Counter()
+    for r in docs.select("text").collect():
+        own = units_of(v, lm.tokens(r["text"]))
+        units.update(own)
+        for pair, seen in zip(lm.PAIRS, want, strict=True):
+            seen.update((int(around(v, own, i, pair[0])), u, int(around(v, own, i, pair[1]))) for i, u in enumerate(own))
+    for c, seen in zip(beside, want, strict=True):
+        left, right, pairs = np.zeros(c.left.shape), np.zeros(c.right.shape), np.zeros(c.pairs.shape)
+        for (a, u, b), n in seen.items():
+            left[a, u] += n
+            right[b, u] += n
+            pairs[a, b] += n
+        assert (left == c.left).all() and (right == c.right).all() and (pairs == c.pairs).all()
+    assert sum(units.values()) == sum(r["n"] for r in counts.collect()) == beside[0].pairs.sum()
+
+
+def test_steps_raise_the_likelihood(fitted):
+    history = fitted[4][2]
+    assert len(history) == lm.STEPS + 1 and history[-1] > history[0] + 0.1
+
+
+def test_gradient_equals_differences(spark):
+    rng = np.random.default_rng(1)
+    net = lm.Network(*(rng.standard_normal(s) for s in ((lm.CLASSES, 3), (lm.CLASSES, 3), (40, 3), (40,))))
+    pairs = rng.integers(0, 5, (lm.CLASSES, lm.CLASSES)).astype(float)
+    _, (grad,) = lm.expected(spark, [net], [pairs])
+    whole = lambda n: sum((pairs[a] * lm._softmaxes(n, pairs, a)[0]).sum() for a in range(lm.CLASSES))
+    for k, at in ((0, (4, 1)), (1, (7, 2)), (2, (11, 0)), (3, (5,))):
+        up, down = ([x.copy() for x in net] for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        assert grad[k][at] == pytest.approx((whole(lm.Network(*up)) - whole(lm.Network(*down))) / 2e-4, rel=1e-3)
+
+
+def test_the_query_equals_brute_force(spark, fitted):
+    """Every document of the registered query against softmaxes over all tokens, computed position by position."""
+    docs, counts, v, beside, (nets, _, _) = fitted
+    n = {r["token"]: r["n"] for r in counts.collect()}
+    mass = beside[0].left.sum(0)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in lm.score(docs, vocab, net).collect()[:12]:
+    got = QUERIES["op2_lm_score"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    cache = {}
+    for r in got:
         found = lm.tokens(texts[r["doc_id"]])
-        at = [v.codes.get(t, len(v.codes) + lm.ending_class(t)) for t in found]
-        own = [int(v.classes[a]) for a in at]
-        total = 0.0
-        for i, c in enumerate(own):
-            h = net.shift.astype(float)
-            for k, d in enumerate(lm.WINDOW):
-                near = own[i + d] if 0 <= i + d < len(own) else lm.EDGE
-                h = h + net.inputs[near].astype(float) @ net.hidden[k]
-            z = np.tanh(h) @ net.out + net.bias
-            total += z[c] - math.log(np.exp(z - z.max()).sum()) - z.max() + v.shares[at[i]]
-        assert r["n_tokens"] == len(found) and r["log_prob"] == pytest.approx(total, rel=1e-4)
+        own, times = units_of(v, found), Counter(found)
+        total, unseen = 0.0, 0
+        for i, (t, u) in enumerate(zip(found, own, strict=True)):
+            near = tuple((int(around(v, own, i, a)), int(around(v, own, i, b))) for a, b in lm.PAIRS)
+            if near not in cache:
+                cache[near] = probabilities(nets, near)
+            total += math.log(cache[near][u])
+            if u >= len(v.codes):
+                total += math.log(max(n[t] - times[t], 0.5)) - math.log(mass[u] + 1)
+                unseen += n[t] == times[t]
+        assert r["n_tokens"] == len(found) and r["n_unseen"] == unseen
+        assert r["log_prob"] == pytest.approx(total, rel=1e-4)
         assert r["perplexity"] == pytest.approx(math.exp(-total / len(found)), rel=1e-3)
 
 
-def test_gradient_steps_learn_and_both_sides_count(fitted):
-    _, _, _, start, net, packed = fitted
-    rows = np.concatenate([np.frombuffer(r[0], dtype=np.uint8).reshape(-1, len(lm.WINDOW) + 1) for r in packed.collect()])
-    before, after = (lm.log_probabilities(n, rows[:, :-1], rows[:, -1]).mean() for n in (start, net))
-    assert after > before + 0.05
-    for side in ([0, 1], [2, 3]):
-        changed = rows[:, :-1].copy()
-        changed[:, side] = lm.EDGE
-        assert not np.allclose(lm.log_probabilities(net, changed, rows[:, -1]), lm.log_probabilities(net, rows[:, :-1], rows[:, -1]))
+def test_tokens_of_one_class_have_different_context_odds(fitted):
+    _, _, v, _, (nets, _, _) = fitted
+    places = len(v.codes)
+    by_class = {}
+    for u in range(lm.OWN, places):
+        by_class.setdefault(int(v.classes[u]), []).append(u)
+    a, b = next(us for us in by_class.values() if len(us) > 1)[:2]
+    odds = [p[a] / p[b] for p in (probabilities(nets, ((x, y), (x, y))) for x, y in ((0, 1), (1, 0), (2, 3), (5, lm.EDGE)))]
+    assert max(odds) > 1.05 * min(odds)
+
 
+def test_both_sides_count(fitted):
+    nets = fitted[4][0]
+    base = probabilities(nets, ((0, 1), (2, 3)))
+    for near in (((4, 1), (2, 3)), ((0, 4), (2, 3)), ((0, 1), (5, 3)), ((0, 1), (2, 6))):
+        assert np.abs(probabilities(nets, near) - base).max() > 1e-4
 
-def test_windows_follow_the_corpus(fitted, spark):
-    docs, _, vocab, *_ = fitted
-    size = lambda d: sum(len(r[0]) for r in lm.windows(d, vocab).collect())
-    assert size(docs.union(docs)) == 2 * size(docs)
 
+def test_documents_that_occur_twice_score_apart(docs_of):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[k // 26**i % 26] for i in range(4))
+    texts = [" ".join(f"the {word(97 * k + 13 * i)} of" for i in range(30)) for k in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, texts[k]) for k in range(5)]
+    got = {r["doc_id"]: r for r in lm.pseudo_likelihood(docs_of(rows)).collect()}
+    twice = [got[k] for k in (*range(5), *range(100, 105))]
+    once = [got[k] for k in range(5, 40)]
+    assert all(r["n_unseen"] == 0 for r in twice) and all(r["n_unseen"] > 0 for r in once)
+    assert min(r["mean_log_prob"] for r in twice) > max(r["mean_log_prob"] for r in once)
 
-def test_scrambled_text_scores_lower(fitted, docs_of):
-    docs, _, vocab, _, net, _ = fitted
+
+def test_scrambled_text_scores_lower(fitted, spark, docs_of):
+    docs, counts, _, beside, (nets, logs, _) = fitted
+    vocab = spark.sparkContext.broadcast(fitted[2])
     real = [r["text"] for r in docs.where("lang = 'en'").limit(20).collect()]
     junk = ["".join(reversed(t)) for t in real]
-    rows = {r["doc_id"]: r["mean_log_prob"] for r in lm.score(docs_of(list(enumerate(real + junk))), vocab, net).collect()}
-    assert np.mean([rows[k] > rows[k + len(real)] for k in range(len(real))]) > 0.9
+    rows = lm.coded(docs_of(list(enumerate(real + junk))), vocab)
+    got = {r["doc_id"]: r["mean_log_prob"] for r in lm.score(rows, counts, vocab, nets, logs, beside[0].left.sum(0)).collect()}
+    assert np.mean([got[k] > got[k + len(real)] for k in range(len(real))]) > 0.9
 
 
 def test_odd_rows(odd_docs, no_docs):
@@ -87,7 +151,7 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     for r in rows:
         if r["doc_id"] in (2, 3, 4):
-            assert r["n_tokens"] == 0 and r["log_prob"] == 0 and r["mean_log_prob"] is None and r["perplexity"] is None
+            assert r["n_tokens"] == 0 and r["log_prob"] == 0 and r["mean_log_prob"] is None and r["perplexity"] is None and r["n_unseen"] == 0
     same = [r["log_prob"] for r in rows if r["doc_id"] == 1]
     assert len(same) == 2 and same[0] == pytest.approx(same[1])
     assert all(math.isfinite(r["log_prob"]) for r in rows)
@@ -100,17 +164,8 @@ def test_marks_are_tokens_of_their_own():
     assert lm.tokens(None) == lm.tokens(" \n") == []
 
 
-def test_tokens_beyond_the_vocabulary_have_their_own_counts(docs_of, monkeypatch):
-    monkeypatch.setattr(lm, "VOCABULARY", 130)
-    monkeypatch.setattr(lm, "ROUNDS", 2)
-    common = " ".join(f"w{k} " * 5 for k in range(100, 240))
-    rows = [(0, common), (1, "w100 often w101"), (2, "w100 soften w101"), (3, " ".join(["often"] * 2) + " x")]
-    got = {r["doc_id"]: r["log_prob"] for r in lm.pseudo_likelihood(docs_of(rows)).collect()}
-    assert got[1] - got[2] == pytest.approx(math.log(3), abs=1e-6)
-
-
-def test_every_position_has_its_turn(fitted, docs_of):
-    docs = docs_of([(k, f"a{k} b c") for k in range(40)] + [(99, "d " * 50)])
-    got = lm.windows(docs, fitted[2]).collect()
-    assert sum(len(r["packed"]) for r in got) == (40 * 3 + 50) * (len(lm.WINDOW) + 1)
-    assert {r["turn"] for r in got} == set(range(lm.SHARE)) and lm.ROUNDS >= lm.SHARE
+def test_the_most_frequent_tokens_have_places(docs_of, monkeypatch):
+    monkeypatch.setattr(lm, "PLACES", 50)
+    rows = [(k, " ".join(f"w{i}" for i in range(k, 100))) for k in range(100)]
+    counts = written(lm.token_counts(docs_of(rows)), "counts")
+    assert list(lm.vocabulary(counts).codes) == [f"w{i}" for i in range(99, 49, -1)]
