@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -24,15 +24,17 @@ from inodelake.runtime import table
 
 LENGTHS = (2, 3, 4)
 BITS = 15
-#: Expected number of training texts per language, the most of all languages together, and landmarks.
+#: The most training texts per language and (but for one a language) of all languages together; least number of landmarks, one a language at least.
 PER_LANGUAGE, MOST, LANDMARKS = 1000, 6000, 384
-#: Languages that can be learned, the most frequent ones.
-LANGUAGES = 500
+#: More languages than this are an error, none is left out.
+LANGUAGES = 2000
+#: Texts per language beyond those wanted that the hash lets through before they are counted.
+SPARE = 20
 RIDGE = 1e-3
 #: How sharply the regressions' outputs are turned into a score.
 SHARP = 6.0
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 #: Texts looked at together: at most so many, and so many bytes unless one alone has more.
 TEXTS, BYTES = 64, 1 << 20
 
@@ -42,6 +44,11 @@ class Model(NamedTuple):
     weights: np.ndarray  # of each n-gram place for each language: landmarks times regressions
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; numerals such as fractions are none."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text or ""))
+
+
 def marks(texts: list[str], lengths: tuple[int, ...] = LENGTHS, bits: int = BITS) -> np.ndarray:
     """A row per text with True at the places of its n-grams, whole texts in lower case."""
     pad = b"\0" * (max(lengths) - 1)
@@ -76,9 +83,10 @@ def _blocks(texts: list[str]) -> Iterator[list[int]]:
 def fit(bits: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """The model of training texts given as rows of marks, with their languages.
 
-    Landmarks are taken in turn from each language, in the order of the rows.
+    Landmarks are taken in turn from each language, in the order of the rows; each language has one at least.
     """
     names = sorted(map(str, set(languages)))
+    landmarks = max(landmarks, len(names))
     turn = np.zeros(len(languages), dtype=np.int64)
     for name in names:
         turn[languages == name] = np.arange(np.count_nonzero(languages == name))
@@ -98,7 +106,7 @@ def fit(bits: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, rid
 
 def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray]:
     """Language and score of each text; kernels and regressions are applied as batched matrix products."""
-    known = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if model else []
+    known = [k for k, t in enumerate(texts) if has_letter(t)] if model else []
     langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     real = [texts[k] for k in known]
     for block in _blocks(real):
@@ -120,26 +128,35 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, landmarks: int = LANDMARKS) -> Model | None:
     """The model learned from ``docs`` (doc_id, text, lang), or None if there is nothing to learn from.
 
-    All documents that aren't held out and have a language count; of each
-    language a sample of about ``per_language`` texts is fitted on, chosen by a hash of
-    doc_id, ``most`` texts in all. The sample's texts are read whole; only
-    their marks come to the driver (2**BITS bits each).
+    All documents that aren't held out and have a language and a letter count; of each
+    language up to ``per_language`` texts are fitted on, the first by a hash of
+    doc_id and text, and fewer of each where these were more than ``most`` in all. The
+    sample's texts are read whole; only their marks come to the driver (2**BITS bits
+    each). A language without a lettered text can't be learned; more than LANGUAGES are an error.
     """
     spark = small_batches(docs).sparkSession
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    hashed = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
-    counts = docs.where(~held_out() & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # LANGUAGES rows at most
-    share = spark.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in common], "of string, share double")
-    sample = usable.join(F.broadcast(share), F.col("lang") == F.col("of")).where(hashed < F.col("share") * (1 << 30)).select(hashed.alias("hash"), "lang", "text")
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("doc_id", "lang", "text")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()  # a row a language
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"there are more than {LANGUAGES} languages")
+    if not counts:
+        return None
+    wanted = max(1, min(per_language, most // len(counts)))
+    # the hash lets a few more than wanted through, and a language with few texts whole
+    share = spark.createDataFrame([(r["lang"], min(1.0, (wanted + SPARE) / r["n"])) for r in counts], "of string, share double")
+    hashed = labelled.withColumn("hash", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
+    some = hashed.join(F.broadcast(share), F.col("lang") == F.col("of")).where(F.col("hash") < F.col("share") * (1 << 30)).select("hash", "lang", "text")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            rows = rows[[has_letter(t) for t in rows["text"]]]
             texts = rows["text"].tolist()
             bits = [np.packbits(m).tobytes() for block in _blocks(texts) for m in marks([texts[k] for k in block])]
             yield pd.DataFrame({"hash": rows["hash"], "lang": rows["lang"], "bits": bits})
 
-    got = sample.mapInPandas(packed, "hash long, lang string, bits binary").orderBy("hash", "lang", "bits").limit(most).toPandas()
+    own = Window.partitionBy("lang").orderBy("hash", "bits")
+    first = some.mapInPandas(packed, "hash long, lang string, bits binary").withColumn("at", F.row_number().over(own)).where(F.col("at") <= wanted)
+    got = first.toPandas().sort_values(["hash", "lang", "bits"])  # ``most`` rows, or one a language
     if got.empty:
         return None
     bits = np.unpackbits(np.frombuffer(b"".join(map(bytes, got["bits"])), dtype=np.uint8).reshape(len(got), -1), axis=1)
@@ -149,7 +166,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, l
 @F.pandas_udf(BooleanType())
 def lettered(texts: pd.Series) -> pd.Series:
     """Whether a text has a letter, as ``predict`` asks; a null text has none."""
-    return pd.Series([bool(t and LETTER.search(t)) for t in texts], dtype=bool)
+    return pd.Series([has_letter(t) for t in texts], dtype=bool)
 
 
 def language(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
@@ -168,8 +185,8 @@ def language(docs: DataFrame, model: Model | None, text_col: str = "text") -> Co
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document.
 
-    A null text or one without a letter is ``und`` with score 0, as is every text
-    if nothing could be learned. Repeated rows get equal results; an empty table
+    A null, empty or blank text or one without a letter is ``und`` with score 0, as is every text
+    if nothing could be learned. Texts of any length are read whole. Repeated rows get equal results; an empty table
     gives no rows; other columns are never looked at.
     """
     found = docs.select("doc_id", held_out().alias("held_out"), language(docs, model).alias("found"))

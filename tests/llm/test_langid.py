@@ -57,6 +57,36 @@ def test_scores_equal_kernels_with_landmarks():
     assert np.allclose(phi @ w, unit @ model.weights, atol=1e-3)
 
 
+def test_numerals_are_no_letters(model):
+    assert langid.predict(["\u00bd \u00b2 \u2460 7", "\u2167 1_2", "\u00bd a"], model)[0][:2] == ["und", "und"]
+    assert not langid.has_letter("\u00bd \u00b2 \u2460 _ 7") and langid.has_letter("\u00bd\u00e9") and not langid.has_letter(None)
+
+
+def test_every_language_is_learned(docs_of):
+    words = {f"l{k}": " ".join(chr(0x4E00 + 97 * k + i) * 3 for i in range(20)) for k in range(60)}
+    rows = [(k, text, lang) for k, (lang, text) in enumerate([x for x in words.items() for _ in range(12)])]
+    rows += [(1000 + k, "the common words of one language " * 3, "en") for k in range(200)] + [(5000, "\u00bd", "zz")]
+    docs = docs_of(rows)
+    model = langid.train(docs, most=61, landmarks=8)
+    assert model.languages == sorted([*words, "en"])
+    assert langid.predict(list(words.values()), model)[0] == list(words)
+
+
+def test_too_many_languages_are_an_error(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.train(docs_of([(k, "abc", f"l{k}") for k in range(20)]))
+
+
+def test_the_query_equals_its_operator(spark, model):
+    from inodelake.llm.queries import QUERIES
+
+    got = {r["doc_id"]: tuple(r) for r in QUERIES["op9_language_id"](spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    langs, scores = langid.predict(list(texts.values()), model)
+    assert got == {k: (k, zlib.crc32(str(k).encode()) % 5 == 0, g, pytest.approx(float(p))) for k, g, p in zip(texts, langs, scores, strict=True)}
+
+
 def test_odd_rows(odd_docs, no_docs, model):
     rows = langid.identify(odd_docs, model).collect()
     assert len(rows) == odd_docs.count()
