@@ -98,18 +98,18 @@ def pieces(docs: DataFrame, capacity: int, end_id: int = 0, path: str | None = N
         seen = np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                rows = []
-                for key, ids in zip(some.column(0).to_pylist(), codec.encode(some.column(1).to_pylist()), strict=True):
-                    whole = np.concatenate([ids, end]).astype("<u4")
-                    for k, a in enumerate(range(0, len(whole), capacity)):
-                        one = whole[a : a + capacity]
-                        rows.append((part, key, k, a, len(one), zlib.crc32(one), int(seen[len(one)])))
-                        seen[len(one)] += 1
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["part", "doc_id", "piece", "start", "length", "ids_crc32", "nth"])
+            if not batch.num_rows:
+                continue
+            rows = []
+            for key, ids in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1)), strict=True):
+                whole = np.concatenate([ids, end]).astype("<u4")
+                for k, a in enumerate(range(0, len(whole), capacity)):
+                    one = whole[a : a + capacity]
+                    rows.append((part, key, k, a, len(one), zlib.crc32(one), int(seen[len(one)])))
+                    seen[len(one)] += 1
+            cols = list(zip(*rows, strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["part", "doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return written(small_batches(rows).mapInArrow(cut, "part long, doc_id long, piece int, start long, length int, ids_crc32 long, nth long"), "pieces")
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | Non
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     A null or empty text is the end id alone; an empty table gives no rows;
     repeated rows are packed as often as they occur; rows without a doc_id are
-    packed as well; other columns are ignored. ``memory``: words that a worker remembers.
+    packed as well; other columns are ignored; texts of any length are encoded whole. ``memory``: words that a worker remembers.
     """
     spark, cut = docs.sparkSession, pieces(docs, capacity, end_id, path, id_col, text_col, memory)
     by_part = written(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
@@ -133,7 +133,8 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | Non
     at = (F.col("length").cast("long") * (1 << 32) + F.col("part")).alias("at")
     starts = running_start(by_part.select(at, "n"), "at", "n", "before", 1 << 32)
     firsts = spark.createDataFrame([(n, sum(c for m, c in counts.items() if m < n)) for n in counts], "length int, smaller long")
-    cut = cut.withColumn("at", at).join(starts.select("at", "before"), "at")
+    # a row a part and length: it grows with the parts, so it is merged and not broadcast
+    cut = cut.withColumn("at", at).join(starts.select("at", "before").hint("merge"), "at")
     cut = cut.join(F.broadcast(firsts), "length").withColumn("rank", F.col("before") - F.col("smaller") + F.col("nth"))
     slot = placed.withColumnRenamed("length", "slot_length")
     found = cut.join(F.broadcast(slot), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after")))
