@@ -8,6 +8,7 @@ costs a task retry and never a recomputation of the whole chain.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -47,8 +48,10 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; below an own temporary folder only where that is unset (tests)."""
+    """A new folder name below ``spark.checkpoint.dir``; below an own temporary folder only where that is unset and Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(root or _own_folder()).rstrip('/')}/inodelake-{uuid.uuid4().hex}"
 
 
@@ -59,8 +62,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def free_name(name: str, *taken: str) -> str:
+    """``name``, with underscores added until no column in ``taken`` has it in any case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -80,13 +87,13 @@ def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], va
     of the partitions before. Rows that tie in everything are kept apart by a
     running number, so equal rows can't pile up in a partition either.
     """
-    tie, part, local, before, own = "__tie", "__part", "__local", "__before", "__value"
+    tie, part, local, before, own, total = (free_name(n, name, *df.columns) for n in ("__tie", "__part", "__local", "__before", "__value", "__total"))
     placed = df.withColumn(tie, F.monotonically_increasing_id()).withColumn(own, (F.lit(1) if value is None else value).cast("long"))
     ranges = [*[F.col(k).asc_nulls_last() for k in keys], *order, F.col(tie)]
     placed = written(placed.repartitionByRange(*ranges).withColumn(part, F.spark_partition_id()), "ranked")
-    sums = placed.groupBy(*keys, part).agg(F.sum(own).alias("__n"))
+    sums = placed.groupBy(*keys, part).agg(F.sum(own).alias(total))
     earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*keys, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(before))
+    starts = sums.select(*keys, part, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(before))
     inside = Window.partitionBy(*keys, part).orderBy(*order, F.col(tie)).rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn(local, F.sum(own).over(inside))
     joined = summed.join(starts, same_keys(summed, starts, [*keys, part]))
