@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inodelake.runtime import table, with_rank, written
+from inodelake.runtime import free_name, table, with_rank, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -42,21 +42,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return sources.select("source", "source_size", F.least(limit, F.col("weight") * F.lit(level or 0.0)).alias("target"))
 
 
-def plan_mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+def plan_mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, order: tuple[str, ...] | None = None) -> DataFrame:
     """How often the mix takes each document: ``keep``, size, source_size, target, copies, taken.
 
-    Size is the number of words (null text: 0). Every document of a source
+    Size is the number of words (null, empty and blank texts: 0), however long the text is. Every document of a source
     expects target / source_size copies; summed along the source's documents in
-    order of size, shifted by one random offset a source drawn from ``seed``, a
+    order of size and then of the columns ``order`` (``keep`` unless given), shifted by one random offset a source drawn from ``seed``, a
     document is taken once per whole number that its sum passes. In that order the
     words taken differ from the target by less than two of the source's longest
-    documents. Null sources are one source. Rows that are equal in
-    everything are taken apart, in any order. An empty table gives no rows.
+    documents. Null sources are one source. Rows that are equal in size and
+    ``order`` are taken apart, in any order. An empty table gives no rows. Other
+    columns are ignored; ``keep`` may not have a name of the columns returned beside it.
     """
+    own = {"source", "size", "source_size", "target", "copies", "taken"}
+    if clash := own & {k.lower() for k in keep}:
+        raise ValueError(f"kept columns may not be named {sorted(clash)}")
+    rest = [k for k in order or keep if k not in keep]
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select(*keep, "source", size.alias("size")), "sizes")
+    sizes = written(docs.select(*keep, *rest, "source", size.alias("size")), "sizes")
     targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "of")
-    rank = with_rank(sizes, ["source"], [F.col("size"), *[F.col(k) for k in keep]], "rank")
+    rank = with_rank(sizes, ["source"], [F.col("size"), *[F.col(k) for k in order or keep]], "rank")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     part = F.md5(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))))
     offset = F.conv(F.substring(part, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
@@ -67,12 +72,18 @@ def plan_mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tupl
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as ``plan_mix`` takes it."""
-    key = "__row"
-    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    plan = plan_mix(rows, keep=(key,), **how).where("copies > 0").select(key, F.col("copies").alias("__copies"))
-    taken = rows.join(plan, key).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return taken.select(*[rows[c] for c in docs.columns])
+    """The rows of ``docs``, each as often as ``plan_mix`` takes it.
+
+    Documents of one size are taken in the order of a hash of all their columns, so the
+    rows taken don't depend on the order of ``docs``; rows that are equal in everything
+    can't be told apart. Columns may have any names; nulls, odd texts and empty tables are as in ``plan_mix``.
+    """
+    row, content, times, copy = (free_name(n, *docs.columns) for n in ("__row", "__content", "__copies", "__copy"))
+    whole = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes])
+    rows = written(docs.withColumn(content, whole).withColumn(row, F.monotonically_increasing_id()), "rows")
+    plan = plan_mix(rows, keep=(row,), order=(content,), **how).where("copies > 0").select(F.col(row).alias(copy), F.col("copies").alias(times))
+    taken = rows.join(plan, F.col(row) == F.col(copy)).drop(copy).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return taken.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -55,3 +55,20 @@ def test_mix_repeats_whole_rows(odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     assert out.count() == sum(r["copies"] for r in plan)
     assert mixing.mix(no_docs).count() == 0 and mixing.plan_mix(no_docs).count() == 0
+
+
+def test_mix_does_not_depend_on_the_order_of_rows(spark, docs_of):
+    rows = [(k, " ".join(f"w{k * 7 + i}" for i in range(1 + k % 6)), "en", f"s{k % 3}") for k in range(300)]
+    first = docs_of(rows)
+    shuffled = docs_of([rows[(k * 97 + 11) % 300] for k in range(300)]).repartition(5)
+    taken = lambda d: sorted(r["doc_id"] for r in mixing.mix(d).collect())
+    assert taken(first) == taken(shuffled)
+
+
+def test_own_names_may_be_taken(spark):
+    docs = spark.createDataFrame([(7, "a b", "s", 5, {"x": 1}, 9), (8, "a b", "s", 6, None, 9)], "`__row` long, text string, source string, `__CONTENT` int, `__copy` map<string,int>, `a.b` int")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    assert {(r["__row"], r["__CONTENT"], r["a.b"]) for r in out.collect()} <= {(7, 5, 9), (8, 6, 9)}
+    with pytest.raises(ValueError, match="size"):
+        mixing.plan_mix(docs.withColumn("size", docs["__row"]), keep=("size",))
