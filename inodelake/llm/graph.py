@@ -34,3 +34,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if not left.take(1):
             return roots
     raise RuntimeError("the components did not settle")
+
+
+def pairs_inside(pairs: DataFrame, clusters: DataFrame) -> int:
+    """How many of ``pairs`` (a, b) are in one component of ``clusters`` (node, root)."""
+    left = clusters.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    right = clusters.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where("x = y").count()

@@ -6,9 +6,10 @@ probability of their similarity. From the root of every run, classes walk to the
 nodes named by sampled tokens they have, so that similar classes walk together;
 nodes with few classes are compared by brute force. In a larger one, classes that
 are much alike to its first one are done with it, and the others are split on
-further tokens. The runs repeat until a pair at the threshold is missed with
-less than the allowed probability. What the paths give are candidate
-clusters; within a cluster every pair's similarity is computed exactly, in blocks.
+further tokens. There are as many runs as a pair at the threshold is expected to need; then a
+sample of classes, compared with all others by their sketches, audits what was found, and runs
+repeat until the recall is reached. What the paths give are candidate
+clusters; within a cluster all pairs of near sizes are compared exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inodelake.llm.graph import components
+from inodelake.llm.graph import components, pairs_inside
 from inodelake.llm.tokens import small_batches
-from inodelake.runtime import table, written
+from inodelake.runtime import free_name, table, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: Min-hashes of a class; agreement from which brute force takes a pair as a candidate (four standard deviations below the threshold).
@@ -35,8 +36,12 @@ BUCKET, STEPS, DEEPER = 256, 4, 2
 #: whatever is similar to the latter is near enough to the first class to be joined to it as well.
 JOINED, DONE = 0.4, 0.9
 RECALL = 0.9999
+#: Classes of the audit, the least share of their alike classes that must be found, and the most repetitions of the runs for it.
+AUDIT, FOUND, REPEATS = 256, 0.99, 16
 #: Classes in one block of the exact comparison.
 BLOCK = 256
+#: Up to so many candidates, their keys are broadcast to the texts; more are merged with them.
+BROADCAST = 200_000
 #: Words whose hashes a worker process remembers.
 MEMORY = 200_000
 
@@ -95,7 +100,7 @@ def sketches(sets: Sequence[np.ndarray], tokens: int = TOKENS) -> np.ndarray:
 
 def sketched(docs: DataFrame, keep: Sequence[str], words: int, text_col: str) -> DataFrame:
     """``keep`` and, of every document, its set's digest, size and sketch (null without words), written to the shared folder."""
-    rows = small_batches(docs).select(*keep, F.col(text_col).alias("__text"))
+    rows = small_batches(docs).select(*keep, text_col)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
 
     def sketch(batches: Iterator) -> Iterator:
@@ -245,18 +250,18 @@ def _near_first(large: DataFrame, sketch: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "set_id binary, node long, first binary, joined boolean, done boolean")
 
 
-def candidate_edges(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Edges (a, b) between classes (set_id, sketch) whose components hold every similar pair, but for the recall."""
-    spark = classes.sparkSession
-    roots = spark.range(runs_needed(threshold, recall=recall)).select((F.xxhash64("id")).alias("node")).collect()
-    roots = F.array(*[F.lit(r["node"]) for r in roots])
+def candidate_edges(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, turn: int = 0) -> DataFrame:
+    """Edges (a, b) between classes (set_id, sketch) whose components hold every similar pair, but for the recall; other runs in each ``turn``."""
+    runs = runs_needed(threshold, recall=recall)
+    roots = F.array(*[F.xxhash64(F.lit(turn * runs + k)) for k in range(runs)])
     frontier = classes.select("set_id", "sketch", F.explode(roots).alias("node"))
     sketch = classes.select("set_id", "sketch")
     edges = []
     for depth in range(STEPS):
         walked = _step(frontier, depth, threshold)
         walked = written(walked.distinct() if depth else walked, "paths")
-        counts = walked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("first")).where("n > 1")
+        # a table of its own: the join with it can then be dealt anew where a node holds a large share of the classes
+        counts = written(walked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("first")).where("n > 1"), "counts")
         met = written(walked.join(counts, "node"), "nodes")
         small = met.where(F.col("n") <= BUCKET).join(sketch, "set_id")
         edges.append(_brute(small))
@@ -303,23 +308,94 @@ def _compare(left: list[np.ndarray], right: list[np.ndarray], threshold: float)
     return common * 1_000_000 >= union * round(threshold * 1_000_000)
 
 
+def _audit(classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of classes that agree in the threshold's share of their sketches, for a sample of about AUDIT classes and all others."""
+    share = min(1.0, AUDIT / max(1, classes.count()))
+    sample = classes.where(F.pmod(F.xxhash64("set_id"), F.lit(1 << 30)) < share * (1 << 30)).select("set_id", "sketch").limit(4 * AUDIT).collect()
+    own = [bytes(r["set_id"]) for r in sample]
+    shared = classes.sparkSession.sparkContext.broadcast((own, np.frombuffer(b"".join(bytes(r["sketch"]) for r in sample), dtype="<u4").reshape(len(own), -1 if own else TOKENS)))
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names, theirs = shared.value
+        for batch in batches if names else ():
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                ids = some.column(0).to_pylist()
+                s = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype="<u4").reshape(len(ids), -1)
+                same = np.zeros((len(names), len(ids)), dtype=np.uint8)
+                for k in range(s.shape[1]):
+                    same += theirs[:, k, None] == s[None, :, k]
+                pairs = [(names[x], ids[y]) for x, y in np.argwhere(same >= threshold * s.shape[1]).tolist() if names[x] != ids[y]]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return written(classes.select("set_id", "sketch").mapInArrow(compare, "a binary, b binary"), "audit")
+
+
+def candidate_clusters(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """node and root: clusters of classes (set_id, sketch) that hold the similar pairs; runs repeat until the audit finds FOUND of its pairs in them."""
+    audit = _audit(classes, threshold)
+    total, edges = audit.count(), None
+    for turn in range(REPEATS):
+        new = written(candidate_edges(classes, threshold, recall, turn), "candidates")
+        edges = new if edges is None else edges.union(new)
+        clusters = components(edges)
+        found = pairs_inside(audit, clusters)
+        if found >= FOUND * total:
+            # the audit's own pairs are not thrown away
+            return clusters if found == total else components(edges.union(audit))
+    raise RuntimeError(f"only {found} of {total} audited pairs were found after {REPEATS} repetitions")
+
+
+def _members(clusters: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """cluster, set_id, row, n, band, own and the pairs of blocks (one, lo, two, hi) that a class of a cluster takes part in.
+
+    Sets whose sizes are further apart than the threshold allows can't be similar. So a cluster of more than BLOCK
+    classes is cut into bands of sizes, each a threshold wide, and a band into blocks; a block meets those of its own band and of the two beside it.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    width = math.log(1 / threshold) + 1e-9 if threshold < 1 else 1e-9
+    band = F.when(F.col("m") > BLOCK, F.floor(F.log(F.col("set_size").cast("double")) / width)).otherwise(0).cast("long")
+    members = clusters.join(sizes, "cluster").join(classes.select("set_id", "set_size", "row", "n"), "set_id").select("cluster", "set_id", "row", "n", band.alias("band"))
+    members = written(members, "members")
+    bands = members.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    beside = Window.partitionBy("cluster").orderBy("band")
+    near = lambda f, step: F.when(f("band").over(beside) == F.col("band") + step, f("blocks").over(beside)).otherwise(0)
+    bands = bands.select(F.col("cluster").alias("of"), F.col("band").alias("at"), "blocks", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))
+    members = members.join(bands, (F.col("cluster") == F.col("of")) & (F.col("band") == F.col("at")))
+    members = members.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    numbers = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda x: x < F.col(n))
+    pair = lambda one, lo, two, hi: F.struct(one.alias("one"), lo.alias("lo"), two.alias("two"), hi.alias("hi"))
+    band, own = F.col("band"), F.col("own")
+    pairs = F.concat(
+        F.transform(numbers("blocks"), lambda x: pair(band, F.least(own, x), band, F.greatest(own, x))),
+        F.transform(numbers("below"), lambda x: pair(band - 1, x, band, own)),
+        F.transform(numbers("above"), lambda x: pair(band, own, band + 1, x)),
+    )
+    return members.select("cluster", "set_id", "row", "n", "band", "own", pairs.alias("pairs"))
+
+
 def _verified(members: DataFrame, threshold: float) -> DataFrame:
-    """set_id, links and root for blocks of a cluster against each other; members: cluster, set_id, n, blocks, hashes."""
-    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    rows = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "set_id", "n", "own", "hashes")
+    """set_id, links and root for pairs of blocks; members: cluster, set_id, n, band, own, pairs, hashes."""
+    rows = members.select("cluster", F.explode("pairs").alias("pair"), "set_id", "n", "band", "own", "hashes")
+    rows = rows.select("cluster", "pair.one", "pair.lo", "pair.two", "pair.hi", "set_id", "n", "band", "own", "hashes")
+    keys = ["cluster", "one", "lo", "two", "hi"]
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for _, lo, hi, ids, n, own, raw in _grouped(batches, 2):
-            order = np.argsort([o != lo[0] for o in own], kind="stable").tolist()
-            cut = sum(o == lo[0] for o in own)
+        for _, one, lo, two, hi, ids, n, band, own, raw in _grouped(batches, 4):
+            if len(ids) < 2:
+                continue
+            second = np.array([(b, o) != (one[0], lo[0]) for b, o in zip(band, own, strict=True)])
+            order = np.argsort(second, kind="stable").tolist()
+            cut = len(ids) - int(second.sum())
             sets = [np.frombuffer(raw[k], dtype="<u8") for k in order]
             names = [ids[k] for k in order]
             weight = np.array([n[k] for k in order], dtype=np.int64)
             linked = np.zeros((len(sets), len(sets)), dtype=bool)
-            if lo[0] == hi[0]:
+            if (one[0], lo[0]) == (two[0], hi[0]):
                 linked = _compare(sets, sets, threshold)
                 np.fill_diagonal(linked, False)
             elif 0 < cut < len(sets):
@@ -329,29 +405,36 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some], pa.binary()), pa.array(links[some]), pa.array([names[root[k]] for k in some], pa.binary())], names=["set_id", "links", "root"])
 
-    keyed = rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    return keyed.mapInArrow(compare, "set_id binary, links long, root binary")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "set_id binary, links long, root binary")
 
 
-def jaccard_classes(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, text_col: str = "text", row: str | None = None) -> DataFrame:
     """``keep``, class_id, n_links and kept for every document.
 
     Two documents are linked if the Jaccard similarity of their sets of ``words``-word
     shingles is ``threshold`` or more. Words are runs of letters, digits and
-    underscores in lower case; a text of fewer words is one shingle. n_links counts the other documents linked
+    underscores in lower case; a text of fewer words is one shingle; texts of any length are taken whole. n_links counts the other documents linked
     directly; class_id is the smallest ``keep[0]`` that links lead to, its own included;
     kept marks one row of each class, the first with that value. Null, empty and
     wordless texts link with nothing. Repeated rows are documents of
-    their own that link with each other. An empty table gives no rows.
+    their own that link with each other, rows without ``keep[0]`` too. An empty table gives no rows. Other columns are
+    ignored, whatever their names; ``keep`` may not have those returned beside it.
+
+    ``row`` is a column that tells the rows of a written table apart; without one, texts are numbered in a written copy.
     """
-    key = keep[0]
-    rows = sketched(docs, keep, words, text_col)
+    own = {"class_id", "n_links", "kept", "set_id", "set_size", "sketch", "row", "text"}
+    if clash := own & {k.lower() for k in keep}:
+        raise ValueError(f"kept columns may not be named {sorted(clash)}")
+    key, kept = keep[0], [F.col(f"`{k}`") for k in keep]
+    docs = docs.select(*kept, F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    docs = docs if row else written(docs, "texts")
+    rows = sketched(docs, ["row", *keep], words, "text")
     has = rows.where("set_id is not null")
-    classes = written(has.groupBy("set_id").agg(F.first("sketch").alias("sketch"), F.min(key).alias("first_id"), F.count(F.lit(1)).alias("n")), "classes")
-    clusters = components(candidate_edges(classes, threshold, recall)).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    members = clusters.join(sizes, "cluster").join(classes.select("set_id", "first_id", "n"), "set_id")
-    members = written(members.select("cluster", "set_id", "first_id", "n", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "members")
+    first = F.min(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), "row"))
+    classes = has.groupBy("set_id").agg(F.first("sketch").alias("sketch"), F.first("set_size").alias("set_size"), first.alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes.withColumn("row", F.col("first.row")), "classes")
+    clusters = candidate_clusters(classes.select("set_id", "sketch"), threshold, recall).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
+    members = written(_members(clusters, classes, threshold), "members")
 
     def again(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -359,41 +442,58 @@ def jaccard_classes(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshol
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                sets = [shingles(t, words) for t in some.column(4).to_pylist()]
-                good = [k for k, (s, i) in enumerate(zip(sets, some.column(1).to_pylist(), strict=True)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == i]
-                kept = some.take(pa.array(good, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns[:4], pa.array([sets[k].tobytes() for k in good], pa.binary())], names=["cluster", "set_id", "n", "blocks", "hashes"])
-
-    texts = docs.select(F.col(key).alias("__id"), F.col(text_col).alias("__text"))
-    texts = members.hint("merge").join(texts, F.col("first_id").eqNullSafe(F.col("__id"))).select("cluster", "set_id", "n", "blocks", "__text")
-    sets = texts.mapInArrow(again, "cluster binary, set_id binary, n long, blocks int, hashes binary")
-    # only a document id that occurs more than once can give a set more than once
-    repeats = has.groupBy("set_id", key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
-    sets = sets.dropDuplicates(["set_id"]) if repeats else sets
+                sets = [shingles(t, words).tobytes() for t in some.column(6).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns[:6], pa.array(sets, pa.binary())], names=["cluster", "set_id", "n", "band", "own", "pairs", "hashes"])
+
+    wanted = members.select(F.col("row").alias("of"), "cluster", "set_id", "n", "band", "own", "pairs")
+    few = members.limit(BROADCAST + 1).count() <= BROADCAST
+    texts = docs.select("row", "text").join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("row") == F.col("of"))
+    kinds = ", ".join(f"{c} {t}" for c, t in wanted.dtypes[1:])
+    sets = small_batches(texts.select(*wanted.columns[1:], "text")).mapInArrow(again, f"{kinds}, hashes binary")
     checked = written(_verified(sets, threshold), "links")
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("set_id").alias("a"), F.col("root").alias("b")).where("a <> b"))
-    of_class = classes.join(roots, classes["set_id"] == roots["node"], "left").select("set_id", F.coalesce("root", "set_id").alias("root"), "first_id", "n")
-    of_class = written(of_class.join(links, "set_id", "left").select("set_id", "root", "first_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked")
-    least = of_class.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "set_id")).alias("best"))
-    found = of_class.join(least, "root").select("set_id", "n_links", F.col("best.first_id").alias("class_id"), (F.col("best.set_id") == F.col("set_id")).alias("leads"), F.col("first_id").alias("__first"))
-    out = rows.join(found, "set_id", "left")
-    lead = F.coalesce("leads", F.lit(True)) & (F.col("set_id").isNull() | F.col(key).eqNullSafe(F.col("__first")))
-    return out.select(*[rows[c] for c in keep], F.when(F.col("set_id").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), lead.alias("kept"))
-
+    of_class = classes.join(roots, classes["set_id"] == roots["node"], "left").select("set_id", F.coalesce("root", "set_id").alias("root"), "first", "n")
+    of_class = written(of_class.join(links, "set_id", "left").select("set_id", "root", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked")
+    least = of_class.groupBy("root").agg(F.min("first").alias("best"))
+    found = written(of_class.join(least, "root").select(F.col("set_id").alias("of"), "n_links", F.col("best.id").alias("class_id"), F.col("best.row").alias("leader")), "found")
+    out = rows.join(found, F.col("set_id") == F.col("of"), "left")
+    alone = F.col("set_id").isNull()
+    return out.select(*kept, F.when(alone, F.col(f"`{key}`")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (alone | (F.col("row") == F.col("leader"))).alias("kept"))
 
-def near_unique(docs: DataFrame, row: str | None = None, **how) -> DataFrame:
-    """``docs`` with one document of each class.
 
-    ``row`` is a column that tells rows apart and stays the same when ``docs`` is
-    read again; without one, the rows are numbered in a written copy.
-    """
-    own = row or "__row"
-    numbered = docs if row else written(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
-    chosen = jaccard_classes(numbered, keep=(own,), **how).where("kept").select(own)
-    return numbered.join(chosen, own, "left_semi").select(*docs.columns)
+def near_unique(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one document of each class. Columns may have any names; nulls, odd texts and empty tables are as in ``jaccard_classes``."""
+    row, own = (free_name(n, *docs.columns) for n in ("__row", "__own"))
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    chosen = jaccard_classes(numbered, keep=(row,), row=row, **how).where("kept").select(F.col(row).alias(own))
+    return numbered.join(chosen, F.col(row) == F.col(own), "left_semi").drop(row)
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """The class and the number of links of every document."""
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS words FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + {WORDS - 1}], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {WORDS - 1}, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), pairs AS (
+  SELECT x, y FROM shared JOIN sizes s ON x = s.doc_id JOIN sizes t ON y = t.doc_id WHERE common * 1000000 >= (s.n + t.n - common) * {round(THRESHOLD * 1_000_000)}
+), links AS (
+  SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), classes AS (
+  SELECT x AS doc_id, min(y) AS class_id FROM reached GROUP BY x
+), counts AS (
+  SELECT x AS doc_id, count(*) AS n FROM links GROUP BY x
+)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links, doc_id = class_id AS kept FROM classes LEFT JOIN counts USING (doc_id)
+"""

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from inodelake.llm import ngram_join as nj
+from inodelake.llm.queries import ORACLES, QUERIES
 
 
 def brute(rows, threshold=0.8):
@@ -55,6 +56,10 @@ def corpus(seed=1):
     return [(k, t) for k, t in enumerate(rows)]
 
 
+def test_equals_sql(same):
+    same(QUERIES["op6_ngram_jaccard"], ORACLES["op6_ngram_jaccard"])
+
+
 def test_equals_brute_force(docs_of):
     rows = corpus()
     got = nj.jaccard_classes(docs_of(rows)).collect()
@@ -105,3 +110,41 @@ def test_one_document_of_each_group_stays(odd_docs, docs_of, no_docs):
 def test_shingles_of_a_text(text):
     w = (text or "").split()
     assert len(nj.shingles(text)) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
+
+
+def test_the_audit_repeats_the_runs(docs_of, monkeypatch):
+    monkeypatch.setattr(nj, "FOUND", 1.1)
+    monkeypatch.setattr(nj, "REPEATS", 2)
+    turns, real = [], nj.candidate_edges
+    monkeypatch.setattr(nj, "candidate_edges", lambda *a: turns.append(a[-1]) or real(*a))
+    with pytest.raises(RuntimeError, match="audited pairs"):
+        nj.jaccard_classes(docs_of(corpus(4)))
+    assert turns == [0, 1]
+
+
+def test_repeated_and_missing_ids(docs_of):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(7, text), (7, text), (None, text), (None, text), (3, text + " x y z a b c d e"), (7, "another text of some words that stands alone")]
+    got = nj.jaccard_classes(docs_of(rows)).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"], r["kept"]) for r in got) == sorted(
+        [("7", "7", 3, True), ("7", "7", 3, False), ("None", "7", 3, False), ("None", "7", 3, False), ("3", "3", 0, True), ("7", "7", 0, True)]
+    )
+
+
+def test_many_candidates_are_merged_and_bands_compared(docs_of, monkeypatch):
+    monkeypatch.setattr(nj, "BROADCAST", 3)
+    monkeypatch.setattr(nj, "BLOCK", 4)
+    monkeypatch.setattr(nj, "BUCKET", 8)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(k, " ".join(base[: 100 + 7 * k])) for k in range(40)]
+    got = nj.jaccard_classes(docs_of(rows)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == brute(rows)
+
+
+def test_own_names_may_be_taken(spark):
+    docs = spark.createDataFrame([(5, "a b c d e f", "x", 1), (5, "a b c d e f", "x", 2)], "`__row` long, text string, `__OWN` string, set_id int")
+    left = nj.near_unique(docs)
+    assert left.columns == docs.columns and [(r["__row"], r["__OWN"]) for r in left.collect()] == [(5, "x")]
+    with pytest.raises(ValueError, match="sketch"):
+        nj.jaccard_classes(docs.withColumn("sketch", docs["set_id"]), keep=("sketch",))
