@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from inodelake.llm.ann import op5_nearest_neighbours
+from inodelake.llm.ann import OP5_SQL, op5_nearest_neighbours
 from inodelake.llm.idfiles import op3_token_ids
 from inodelake.llm.langid import op9_language_id
 from inodelake.llm.licenses import OP1_SQL, op1_license_scan
 from inodelake.llm.lm_score import op2_lm_score
 from inodelake.llm.mixing import OP10_SQL, op10_mixing
-from inodelake.llm.ngram_join import op6_ngram_jaccard
+from inodelake.llm.ngram_join import OP6_SQL, op6_ngram_jaccard
 from inodelake.llm.packing import op7_best_fit_packing
-from inodelake.llm.vector_dedup import op4_vector_near_dedup
+from inodelake.llm.vector_dedup import OP4_SQL, op4_vector_near_dedup
 from inodelake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
-ORACLES = {"op1_license_scan": OP1_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op1_license_scan": OP1_SQL, "op4_vector_near_dedup": OP4_SQL, "op5_nearest_neighbours": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}

@@ -15,12 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inodelake.llm.graph import components
+from inodelake.llm.graph import components, pairs_inside
 from inodelake.llm.ngram_join import _grouped
-from inodelake.llm.vectors import lengths, linked_in_blocks, matrix, prepared
+from inodelake.llm.vectors import USABLE_SQL, hashed_sample, lengths, linked_in_blocks, matrix, prepared
 from inodelake.runtime import table, written
 
 THRESHOLD = 0.95
@@ -106,30 +106,15 @@ def _trees(classes: DataFrame, dims: int, n: int, trees: int, seed: int) -> Data
 
 def _best(edges: DataFrame, threshold: float) -> DataFrame:
     """Each vector's neighbours: its NEIGHBOURS nearest, or ENLARGED if those are all links; a row per neighbour, with the list's last similarity."""
-
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        out: list[tuple] = []
-        for a, b, sim in _grouped(batches):
-            near: dict[bytes, float] = {}
-            for key, s in zip(b, sim, strict=True):
-                if s > near.get(key, -2):
-                    near[key] = s
-            ranked = sorted(near.items(), key=lambda x: (-x[1], x[0]))[:ENLARGED]
-            if len(ranked) > NEIGHBOURS and ranked[NEIGHBOURS - 1][1] < threshold:
-                ranked = ranked[:NEIGHBOURS]
-            last = ranked[-1][1] if len(ranked) >= NEIGHBOURS else -1.0
-            out += [(a[0], key, s, last) for key, s in ranked]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.float32(), pa.float32()), strict=True)], names=["a", "b", "sim", "last"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.float32(), pa.float32()), strict=True)], names=["a", "b", "sim", "last"])
-
-    # partial maxima first: an edge found many times is shuffled once a task
+    # partial maxima and partial ranks first: a task hands on an edge once, and a vector's ENLARGED nearest
     once = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    return written(once.repartition("a").sortWithinPartitions("a").mapInArrow(cut, EDGE + ", last float"), "graph")
+    near = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    whole = Window.partitionBy("a")
+    ranked = once.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= ENLARGED)
+    full = F.max(F.when(F.col("rank") == NEIGHBOURS, F.col("sim"))).over(whole)
+    listed = ranked.withColumn("eighth", full).where((F.col("rank") <= NEIGHBOURS) | (F.col("eighth") >= threshold))
+    last = F.when(F.col("eighth").isNotNull(), F.min("sim").over(whole)).otherwise(-1.0).cast("float")
+    return written(listed.select("a", "b", "sim", last.alias("last")), "graph")
 
 
 def _refined(graph: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -174,7 +159,7 @@ def _refined(graph: DataFrame, classes: DataFrame, threshold: float) -> DataFram
 
 def _audit(classes: DataFrame, threshold: float, size: int) -> DataFrame:
     """All links (a, b) of a sample of ``size`` vectors, chosen by their digests, compared with every vector in blocks."""
-    sample = classes.orderBy("key").limit(size).select("key", "vec").collect()  # ``size`` vectors at most
+    sample = hashed_sample(classes.select("key", "vec"), ["key"], size, classes.count())
     keys = [bytes(r["key"]) for r in sample]
     units = matrix([bytes(r["vec"]) for r in sample])
     shared = classes.sparkSession.sparkContext.broadcast((keys, units))
@@ -274,13 +259,6 @@ def _joined(close: DataFrame, clusters: DataFrame, members: DataFrame, dims: int
     return close, components(close)
 
 
-def _recall(audit: DataFrame, clusters: DataFrame, total: int) -> float:
-    """The share of the audited links inside clusters."""
-    left = clusters.select(F.col("node").alias("a"), F.col("root").alias("x"))
-    right = clusters.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    return audit.join(left, "a").join(right, "b").where("x = y").count() / total if total else 1.0
-
-
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept and recall of every row of ``vectors``.
 
@@ -329,13 +307,13 @@ def _near_rows(rows: DataFrame, dims: int, threshold: float) -> DataFrame:
         full = full.where((F.col("listed") >= ENLARGED) & (F.col("last") >= threshold - MARGIN)).select("a")
         members = clusters.join(full, clusters["node"] == full["a"]).join(classes, clusters["node"] == classes["key"]).select("key", "root", "unit")
         close, clusters = _joined(close, clusters, members, dims, threshold)
-        recall = _recall(audit, clusters, total)
+        recall = pairs_inside(audit, clusters) / total if total else 1.0
         if recall >= RECALL:
             break
     if recall < RECALL:
         members = classes.join(clusters, classes["key"] == clusters["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "unit")
         close, clusters = _joined(close, clusters, members, dims, threshold)
-        recall = _recall(audit, clusters, total)
+        recall = pairs_inside(audit, clusters) / total if total else 1.0
     if recall < 1:
         clusters = components(close.union(audit))  # the audit's own links are not thrown away
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
@@ -358,4 +336,22 @@ def _near_rows(rows: DataFrame, dims: int, threshold: float) -> DataFrame:
 
 def op4_vector_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The links and the component of every embedding."""
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return near_vectors(table(spark, sf_dir, "embeddings")).drop("recall")
+
+
+OP4_SQL = f"""
+WITH RECURSIVE v AS (
+  {USABLE_SQL}
+), pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
+), links AS (
+  SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs
+), reached AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), components AS (
+  SELECT x AS vec_id, min(y) AS component_id FROM reached GROUP BY x
+), counts AS (
+  SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM components LEFT JOIN counts USING (vec_id)
+"""

@@ -48,6 +48,14 @@ def lengths(rows: DataFrame) -> list[int]:
     return sorted(r["dims"] for r in rows.where("dims is not null").select("dims").distinct().collect())  # a row a length
 
 
+def hashed_sample(rows: DataFrame, keys: list[str], size: int, n: int) -> list:
+    """The ``size`` of ``n`` rows with the smallest hashes of ``keys``; a threshold lets few more than these out of the tasks."""
+    spread = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    most = (1 << 40) * min(1.0, (size + 8 * size**0.5 + 8) / max(1, n))
+    got = rows.withColumn("__spread", spread).where(F.col("__spread") < most).collect()  # little more than ``size`` rows
+    return sorted(got, key=lambda r: (r["__spread"], *(r[k] for k in keys)))[:size]
+
+
 def matrix(parts: list[bytes], unit: bool = True, kind: str = "<f8") -> np.ndarray:
     """Vectors as rows, of length 1 if ``unit``; without vectors, a matrix without rows."""
     if not parts:
@@ -81,3 +89,8 @@ def linked_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
 
     keyed = rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     return keyed.mapInArrow(compare, "key binary, links long, root binary")
+
+
+#: Vectors that take part, in double precision.
+USABLE_SQL = """SELECT vec_id, e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0"""

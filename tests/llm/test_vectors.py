@@ -3,6 +3,7 @@ import pytest
 
 from inodelake.llm import ann
 from inodelake.llm import vector_dedup as vd
+from inodelake.llm.queries import ORACLES, QUERIES
 from inodelake.runtime import table
 
 VECTORS = "vec_id long, embedding array<float>, label int, key string, n int, id int, vec string, unit string"
@@ -29,6 +30,21 @@ def unit(rows):
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+@pytest.mark.parametrize("name", ["op4_vector_near_dedup", "op5_nearest_neighbours"])
+def test_equals_sql(name, same):
+    same(QUERIES[name], ORACLES[name])
+
+
+def test_scores_are_those_of_plain_sums(duck):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 64)).astype(np.float32).astype(float)
+    duck.execute("CREATE OR REPLACE TABLE pairs (a DOUBLE[], b DOUBLE[])")
+    duck.executemany("INSERT INTO pairs VALUES (?, ?)", [(v.tolist(), x[0].tolist()) for v in x])
+    want = [r[0] for r in duck.execute("SELECT list_cosine_similarity(a, b) FROM pairs").fetchall()]
+    assert ann.cosines(x, x[0]).tolist() == want
+    assert ann.cosines(x * 1e-200, x[0] * 1e200) == pytest.approx(want)
+
+
 def test_links_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vd, "BLOCK", 16)
     rows = clustered()
