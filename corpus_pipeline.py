@@ -6,50 +6,64 @@ all but the last return the columns they were given.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inodelake.llm import langid, mixing, ngram_join, packing
-from inodelake.runtime import table, written
+from inodelake.runtime import free_name, table, written
+
+#: A label is taken for wrong if another language is found with this score or more.
+CONFIDENT = 0.9
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter, which is all that language ID asks of a text. Null texts go, null columns stay, repeated rows stay.
+    """Documents with a language that doesn't contradict their label.
 
-    If no language can be learned, the letter alone decides.
+    Texts without a letter go (null, empty and blank ones too), and those whose
+    label is a learned language other than the one found with CONFIDENT score or more. Texts of
+    any length are read whole. A null label, source or id is no reason to go; repeated rows stay. If no
+    language can be learned, the letter alone decides. An empty table gives no
+    rows. Columns may have any names beside text, lang and doc_id.
     """
     model = langid.train(docs)
     if model is None:
         return docs.where(langid.lettered(F.col("text")))
-    known = docs.withColumn("__found", langid.language(docs, model)).where(F.col("__found.lang_pred") != langid.UNKNOWN)
-    return known.select(*docs.columns)
+    found = free_name("__found", *docs.columns)
+    known = docs.withColumn(found, langid.language(docs, model))
+    pred, score = F.col(f"{found}.lang_pred"), F.col(f"{found}.score")
+    contradicted = F.coalesce(F.col("lang").isin(model.languages) & (F.col("lang") != pred) & (score >= CONFIDENT), F.lit(False))
+    return known.where((pred != langid.UNKNOWN) & ~contradicted).drop(found)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8), repeated rows included.
 
-    Rows of files are told apart by file and place; other tables are numbered in a written copy.
+    A null, empty or wordless text is no copy of another and stays; one of fewer than five words
+    is a copy of those with the same words. Texts of any length are compared whole. An empty
+    table gives no rows. Columns may have any names beside text.
     """
-    try:
-        placed = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__place"))
-    except AnalysisException:
-        return ngram_join.near_unique(docs)
-    return ngram_join.near_unique(placed, row="__place").select(*docs.columns)
+    return ngram_join.near_unique(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null, empty and blank texts count no words and are taken at their source's rate like others; null sources are one source;
+    repeated rows are documents of their own. The same rows are taken whatever their order. An
+    empty table gives no rows. Columns may have any names beside text and source.
+    """
     return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, 2048, memory=WORDS)
+    """The pieces of all documents in sequences of at most 2048 tokens.
 
+    A null or empty text is its end id alone; long texts are cut into pieces; repeated rows and
+    rows without an id are packed like others. An empty table gives no rows; columns other than
+    doc_id and text are ignored.
+    """
+    return packing.pack(docs, 2048)
 
-#: Words that a worker remembers for packing: less than alone, as the other stages' workers are still there.
-WORDS = 150_000
 
 STAGES = [
     ("language_id", language_stage),
