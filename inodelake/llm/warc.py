@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from inodelake.runtime import shared_folder, table, written
 
 #: Payloads of fewer bytes are always stored, never a revisit.
 LEAST_REVISIT = 100
+#: Up to so many revisits, their numbers are broadcast to the pages; more are merged with them.
+BROADCAST = 500_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "type string, record_id string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, payload binary, fields map<string,string>"
@@ -55,37 +58,41 @@ def capture(row: int, page_id: int | None, url: str | None, payload: bytes, dige
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, size: int = 64 << 20) -> DataFrame:
-    """Write a capture per row of ``pages`` (page_id, url, html) below ``folder``; returns the manifest (part, shard, captures, file).
+    """Write a capture per row of ``pages`` (page_id, url, html) below ``folder``; returns the manifest (stamp, captures, file).
 
-    Payload: the html in UTF-8, null as empty. Of rows with equal payloads of
+    Payload: the html in UTF-8, null as empty, of any length. Of rows with equal payloads of
     ``least`` bytes or more, the one with the smallest page_id (null last; of
     repeated rows, the first) is the response and the others revisit it. Rows
     without url or page_id are written without those fields; an empty table
-    gives no file; other columns are ignored. A task starts a new file after ``size`` bytes.
-    ``pages`` must give the same rows when read twice, as files do.
+    gives no file; other columns are ignored, whatever their names. A task starts a new file after ``size`` bytes.
+
+    Rows are numbered in a written copy. Digests alone are shuffled to find equal payloads. The manifest names the
+    files of tasks that ended well; files that a lost or repeated attempt left behind have another ``stamp``.
     """
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = firsts.select(F.col("digest").alias("of"), F.col("first.row").alias("first_row"), F.col("first.page_id").alias("first_id"))
-    joined = rows.join(firsts, F.col("digest") == F.col("of"), "left")
-    own = F.col("first_row") == F.col("row")
-    joined = joined.select("row", "page_id", "url", "payload", "digest", *[F.when(~own, F.col(c)).alias(c) for c in ("first_row", "first_id")])
+    rows = written(rows.withColumn("digest", F.sha2("payload", 256)), "pages")
+    keys = rows.where(F.octet_length("payload") >= least).select("digest", F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row").alias("rank"))
+    firsts = written(keys.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("of"), "first"), "firsts")
+    again = keys.join(firsts, F.col("digest") == F.col("of")).where("rank.row <> first.row")
+    again = written(again.select(F.col("rank.row").alias("again"), F.col("first.row").alias("first_row"), F.col("first.page_id").alias("first_id")), "revisits")
+    few = again.limit(BROADCAST + 1).count() <= BROADCAST
+    joined = rows.join(F.broadcast(again) if few else again.hint("merge"), F.col("row") == F.col("again"), "left")
+    joined = joined.select("row", "page_id", "url", "payload", "digest", "first_row", "first_id")
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, shard, n = TaskContext.get().partitionId(), 0, 0
+        part, n = TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         made: list[tuple] = []
 
         def close() -> None:
-            nonlocal shard, n
-            made.append((part, shard, len(held), write_file(folder, f"part-{part:06d}-{shard:06d}.warc.gz", b"".join(held))))
-            shard, n = shard + 1, 0
+            nonlocal n
+            stamp = uuid.uuid4().int >> 65
+            made.append((stamp, len(held), write_file(folder, f"part-{part:06d}-{stamp:016x}.warc.gz", b"".join(held))))
+            n = 0
             held.clear()
 
         for batch in batches:
@@ -97,10 +104,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, si
                         close()
         if held:
             close()
-        cols = list(zip(*made, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["part", "shard", "captures", "file"])
+        cols = list(zip(*made, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["stamp", "captures", "file"])
 
-    return written(joined.mapInArrow(write, "part long, shard long, captures long, file string"), "manifest")
+    return written(joined.mapInArrow(write, "stamp long, captures long, file string"), "manifest")
 
 
 def members(raw: bytes, step: int = 1 << 16) -> Iterator[bytes]:
@@ -139,8 +146,11 @@ def parse(raw: bytes, with_payload: bool) -> tuple:
     return h["warc-type"], h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, n, payload, list(fields.items())
 
 
-def read_records(spark, folder: str, with_payload: bool = False) -> DataFrame:
-    """A row per record of the archives in ``folder``; payloads, checked against their digests, only if asked for."""
+def read_records(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+    """A row per record of the archives in ``folder`` that ``manifest`` names; payloads, checked against their digests, only if asked for."""
+    spark = manifest.sparkSession
+    if not manifest.take(1):
+        return spark.createDataFrame([], RECORD)
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -164,31 +174,38 @@ def read_records(spark, folder: str, with_payload: bool = False) -> DataFrame:
                     yield out()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    stamp = F.conv(F.regexp_extract("path", "-([0-9a-f]{16})[.]warc[.]gz$", 1), 16, 10).cast("long")
+    # a row for each file: Spark broadcasts them while they are few
+    files = files.withColumn("stamp", stamp).join(manifest.select("stamp"), "stamp", "left_semi")
     return files.select("content").mapInArrow(read, RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: record_id, main, request, metadata.
 
-    Records meet at the identifier of the main record, which it states itself and
-    the others in WARC-Concurrent-To. A capture without request or metadata has null there;
-    records that name no main record in the archives are left out.
+    Requests and metadata are joined to the main record (response or revisit) whose identifier they name in
+    WARC-Concurrent-To. A capture without request or metadata has null there; records that name no main record in the
+    archives are left out. Where identifiers clash - several main records with one, or several requests or metadata
+    of one main record - the smallest by identifier, address, digest, size and fields stands for all. Null
+    identifiers name nothing; an empty table gives no rows.
     """
-    row = F.struct("type", "record_id", "refers_to", "uri", "digest", "payload_bytes", "payload", "fields")
-    of = lambda *kinds: F.first(F.when(F.col("type").isin(*kinds), row), ignorenulls=True)
-    met = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture"))
-    nested = met.agg(of("response", "revisit").alias("main"), of("request").alias("request"), of("metadata").alias("metadata"))
-    return nested.where("main is not null").withColumnRenamed("capture", "record_id")
+    names = ("type", "record_id", "refers_to", "uri", "digest", "payload_bytes", "payload", "fields")
+    order = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("record_id", "uri", "digest", "payload_bytes")], F.coalesce(F.to_json("fields"), F.lit("")))
+
+    def one(name: str, key: str, *kinds: str) -> DataFrame:
+        own = records.where(F.col("type").isin(*kinds) & F.col(key).isNotNull())
+        return own.groupBy(F.col(key).alias(f"of_{name}")).agg(F.min_by(F.struct(*names), order).alias(name))
+
+    out = one("main", "record_id", "response", "revisit")
+    for name in ("request", "metadata"):
+        out = out.join(one(name, "concurrent_to", name), F.col("of_main") == F.col(f"of_{name}"), "left")
+    return out.select(F.col("of_main").alias("record_id"), "main", "request", "metadata")
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     """Every page, written as WARC records and assembled again from the archives."""
     folder = f"{shared_folder(spark)}/warc"
-    manifest = write_archives(table(spark, sf_dir, "pages"), folder)
-    if manifest.take(1):
-        records = read_records(spark, folder)
-    else:
-        records = spark.createDataFrame([], RECORD)
+    records = read_records(write_archives(table(spark, sf_dir, "pages"), folder), folder)
     fields = F.col("metadata.fields")
     return captures(records).select(
         fields["pageId"].cast("long").alias("page_id"),

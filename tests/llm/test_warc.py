@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def test_round_trip_of_odd_pages(spark, stored):
     big, small = "<p>é\r\n\r\n" * 20_000, "x" * 99
     rows = [(3, "http://a/\r\nWARC-Type: x", big), (2, None, big), (9, "u", big), (9, "u", big), (None, "u", big), (4, "u", small), (5, "u", small), (6, "u", None), (7, "u", ""), (8, "u: v", "y" * 100), (None, None, None)]
     manifest, folder = stored(rows, size=1000)
-    got = warc.captures(warc.read_records(spark, folder, with_payload=True)).collect()
+    got = warc.captures(warc.read_records(manifest, folder, with_payload=True)).collect()
     assert len(got) == len(rows) == manifest.agg(F.sum("captures")).first()[0]
     seen = []
     for r in got:
@@ -48,8 +49,8 @@ def test_round_trip_of_odd_pages(spark, stored):
 
 
 def test_repeated_rows_have_one_response(spark, stored):
-    _, folder = stored([(1, "u", "z" * 200)] * 3)
-    kinds = sorted(r["main"]["type"] for r in warc.captures(warc.read_records(spark, folder)).collect())
+    manifest, folder = stored([(1, "u", "z" * 200)] * 3)
+    kinds = sorted(r["main"]["type"] for r in warc.captures(warc.read_records(manifest, folder)).collect())
     assert kinds == ["response", "revisit", "revisit"]
 
 
@@ -63,5 +64,31 @@ def test_damage_is_seen():
 
 
 def test_no_pages(spark, stored):
-    manifest, _ = stored([])
-    assert manifest.count() == 0
+    manifest, folder = stored([])
+    assert manifest.count() == 0 and warc.read_records(manifest, folder).count() == 0
+
+
+def test_files_of_other_attempts_are_not_read(spark, stored):
+    manifest, folder = stored([(k, "u", "z" * 200) for k in range(20)], size=1000)
+    files = [r["file"] for r in manifest.collect()]
+    assert len(files) > 1
+    at = Path(files[0].removeprefix("file://"))
+    (at.parent / "part-000000-0123456789abcdef.warc.gz").write_bytes(at.read_bytes())
+    (at.parent / "part-000001-00000000000000ff.warc.gz").write_bytes(b"half a file")
+    assert warc.captures(warc.read_records(manifest, folder)).count() == 20 and warc.read_records(manifest, folder).count() == 60
+
+
+def test_many_revisits_are_merged(spark, stored, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST", 2)
+    manifest, folder = stored([(k, "u", "z" * 200) for k in range(9)])
+    got = warc.captures(warc.read_records(manifest, folder)).collect()
+    assert sorted((r["metadata"]["fields"]["pageId"], r["main"]["type"]) for r in got) == [("0", "response"), *((str(k), "revisit") for k in range(1, 9))]
+
+
+def test_clashing_and_missing_identifiers(spark):
+    row = lambda kind, own, of, uri: (kind, own, of, None, uri, "d", 1, None, {"x": uri})
+    rows = [row("response", "m", None, "b"), row("response", "m", None, "a"), row("request", "q2", "m", "u"), row("request", "q1", "m", "u"), row("metadata", "x", "nobody", "u"), row("metadata", "y", None, "u"), row("revisit", None, None, "u"), row("revisit", "n", None, "u")]
+    for some in (rows, rows[::-1]):
+        got = {r["record_id"]: r for r in warc.captures(spark.createDataFrame(some, warc.RECORD)).collect()}
+        assert sorted(got) == ["m", "n"]
+        assert got["m"]["main"]["uri"] == "a" and got["m"]["request"]["record_id"] == "q1" and got["m"]["metadata"] is None and got["n"]["request"] is None
