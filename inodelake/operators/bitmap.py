@@ -43,6 +43,31 @@ def frag_stats(bits: DataFrame) -> DataFrame:
     return counts.crossJoin(runs).select("total_blocks", "used_blocks", free.alias("free_blocks"), "free_runs", "largest_free_run", "avg_gap_size", ratio.alias("fragmentation_ratio"))  # one row each
 
 
+def size_report(stats: DataFrame) -> DataFrame:
+    """One row: ``frag_stats`` in KB, the mean gap with two digits, and the ratio in percent."""
+    kb = layout.BLOCK // 1024
+    sizes = [(F.col(c) * kb).alias(c.replace("blocks", "kb")) for c in ("total_blocks", "used_blocks", "free_blocks")]
+    return stats.select(*sizes, (F.col("largest_free_run") * kb).alias("largest_free_kb"), F.format_string("%.2f", "avg_gap_size").alias("avg_gap"), F.format_string("%.2f%%", F.col("fragmentation_ratio") * 100).alias("fragmentation"))
+
+
+def defragmented(bits: DataFrame) -> DataFrame:
+    """The bitmap with as many used bits as before, all at its start."""
+    about = bits.agg(F.min("bit_index").alias("first"), F.count_if("used").alias("n"))
+    return bits.crossJoin(about).select("bit_index", (F.col("bit_index") < F.col("first") + F.col("n")).alias("used"))  # one row beside each
+
+
+def defrag_stats(bits: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: what laying ``files`` (file_id, kind, size) out anew moves, and the bitmap's fragmentation before and after.
+
+    blocks_freed is by how many free runs fell, not below 0.
+    """
+    moved = files.where("kind = 'f' and size > 0").agg(F.count(F.lit(1)).alias("files_processed"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes_moved"))
+    before = frag_stats(bits).select(F.col("free_runs").alias("runs_before"), F.col("fragmentation_ratio").alias("frag_before"))
+    after = frag_stats(defragmented(bits)).select(F.col("free_runs").alias("runs_after"), F.col("fragmentation_ratio").alias("frag_after"))
+    freed = F.greatest(F.col("runs_before") - F.col("runs_after"), F.lit(0)).alias("blocks_freed")
+    return moved.crossJoin(before).crossJoin(after).select("files_processed", "bytes_moved", freed, "frag_before", "frag_after")  # one row each
+
+
 def first_free(bits: DataFrame) -> DataFrame:
     """One row: the lowest free bit, null if there is none."""
     return bits.where(~F.col("used")).agg(F.min("bit_index").alias("first_free"))

@@ -149,11 +149,76 @@ def lookup_first(spark: SparkSession, sf: str) -> DataFrame:
     return tree.lookup_first(part)
 
 
-@query(f"""WITH {DIRENTS_SQL}, inodes AS (SELECT 'c' || c_custkey AS inode_id, greatest(c_acctbal, 0)::BIGINT AS size FROM customer)
-SELECT parent_id, slot, name, kind, size FROM dirents JOIN inodes USING (inode_id)""".replace("greatest(c_acctbal, 0)::BIGINT", "floor(greatest(c_acctbal, 0))::BIGINT"))
+INODES_SQL = """inodes AS (
+  SELECT 'r' || r_regionkey AS inode_id, 4096::BIGINT AS size, 0::BIGINT AS compressed_size, 1600000000 + r_regionkey::BIGINT AS modified_at FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 4096, 0, 1600000000 + n_nationkey * 86400 FROM nation
+  UNION ALL SELECT 'c' || c_custkey, floor(greatest(c_acctbal, 0))::BIGINT, CASE WHEN c_custkey % 3 = 0 THEN floor(greatest(c_acctbal, 0))::BIGINT // 2 ELSE 0 END, 1600000000 + c_custkey * 3601 FROM customer)"""
+LONG_SQL = "size, nullif(compressed_size, 0) AS comp_size, strftime(make_timestamp(modified_at * 1000000), '%Y-%m-%d %H:%M:%S') AS modified"
+
+
+def inodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes and times of what ``dirents`` names; every third customer is compressed."""
+    of = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string")).alias("inode_id")
+    full = F.lit(4096).cast("long").alias("size")
+    none = F.lit(0).cast("long").alias("compressed_size")
+    at = lambda key, step: (F.lit(1_600_000_000).cast("long") + F.col(key) * step).alias("modified_at")
+    size = F.floor(F.greatest("c_acctbal", F.lit(0.0))).cast("long")
+    packed = F.when(F.col("c_custkey") % 3 == 0, F.floor(size / 2)).otherwise(0).cast("long")
+    rows = table(spark, sf, "region").select(of("r", "r_regionkey"), full, none, at("r_regionkey", 1))
+    rows = rows.union(table(spark, sf, "nation").select(of("n", "n_nationkey"), full, none, at("n_nationkey", 86400)))
+    return rows.union(table(spark, sf, "customer").select(of("c", "c_custkey"), size, packed, at("c_custkey", 3601)))
+
+
+@query(f"WITH {DIRENTS_SQL}, {INODES_SQL} SELECT parent_id, slot, name, kind, size FROM dirents JOIN inodes USING (inode_id)")
 def list_dir(spark: SparkSession, sf: str) -> DataFrame:
-    inodes = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("inode_id"), F.floor(F.greatest("c_acctbal", F.lit(0.0))).cast("long").alias("size"))
-    return tree.list_directory(dirents(spark, sf), inodes)
+    return tree.list_directory(dirents(spark, sf), inodes(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {DIRENTS_SQL}, {INODES_SQL}, w AS (
+  SELECT name, inode_id, kind FROM dirents WHERE parent_id = 'root'
+  UNION ALL SELECT w.name || '/' || d.name, d.inode_id, d.kind FROM dirents d JOIN w ON d.parent_id = w.inode_id)
+SELECT '' AS target, name, kind, {LONG_SQL} FROM w JOIN inodes USING (inode_id)""")
+def list_long(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.listing(dirents(spark, sf), inodes(spark, sf), spark.createDataFrame([("/",)], "path string"), "root", recursive=True)
+
+
+#: Paths that are asked for: a directory, a file, a missing name, and something below a file.
+ASKED_SQL = """asked AS (
+  SELECT r_name || '/' || n_name AS path, 'n' || n_nationkey AS inode_id, 'd' AS kind, 'ok' AS outcome FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_name || '/' || n_name || '/' || c_name || CASE c_custkey % 3 WHEN 1 THEN '/deeper' WHEN 2 THEN '.none' ELSE '' END,
+         CASE WHEN c_custkey % 3 = 0 THEN 'c' || c_custkey END, CASE WHEN c_custkey % 3 = 0 THEN 'f' END, CASE c_custkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'not a directory' ELSE 'not found' END
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    tops = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = F.col("c_custkey") % 3
+    below = table(spark, sf, "customer").join(tops, F.col("c_nationkey") == F.col("n_nationkey"))
+    end = F.when(key == 1, "/deeper").when(key == 2, ".none").otherwise("")
+    return tops.select(F.concat_ws("/", "r_name", "n_name").alias("path")).union(below.select(F.concat(F.concat_ws("/", "r_name", "n_name", "c_name"), end)))
+
+
+@query(f"WITH {ASKED_SQL} SELECT * FROM asked")
+def path_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.outcomes(asked(spark, sf), dirents(spark, sf), "root")
+
+
+@query(f"""WITH {ASKED_SQL}, {DIRENTS_SQL}, {INODES_SQL}, rows AS (
+  SELECT a.path AS target, a.path || '/' || d.name AS name, d.inode_id, d.kind FROM asked a JOIN dirents d ON d.parent_id = a.inode_id WHERE a.kind = 'd'
+  UNION ALL SELECT path, path, inode_id, kind FROM asked WHERE kind = 'f')
+SELECT target, name, kind, {LONG_SQL} FROM rows JOIN inodes USING (inode_id)""")
+def list_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.listing(dirents(spark, sf), inodes(spark, sf), asked(spark, sf), "root")
+
+
+@query(f"""WITH {DIRENTS_SQL}, requests AS (
+  SELECT parent_id, CASE WHEN slot % 5 = 4 THEN name || '?' ELSE name END AS name, inode_id, slot FROM dirents WHERE kind = 'd' OR slot % 2 = 0)
+SELECT parent_id, name, CASE WHEN slot % 5 <> 4 THEN inode_id END AS inode_id,
+       CASE WHEN slot % 5 = 4 THEN 'not found' WHEN inode_id IN (SELECT parent_id FROM dirents) THEN 'not empty' ELSE 'deleted' END AS outcome FROM requests""")
+def delete_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    wrong = F.when(F.col("slot") % 5 == 4, F.concat("name", F.lit("?"))).otherwise(F.col("name"))
+    entries = dirents(spark, sf)
+    return tree.delete(entries, entries.where("kind = 'd' or slot % 2 = 0").select("parent_id", wrong.alias("name")))
 
 
 @query(f"""WITH RECURSIVE {DIRENTS_SQL}, w AS (
@@ -224,12 +289,20 @@ def delete_entries(spark: SparkSession, sf: str) -> DataFrame:
     return before.join(after, "source", "left").select("source", "entries_before", F.coalesce("entries_after", F.lit(0)).alias("entries_after"), (F.col("all") - F.coalesce("kept", F.lit(0))).alias("freed_blocks"))
 
 
-@query("""SELECT 'root' AS parent_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS slot, n_nationkey::BIGINT AS inode_id, n_name AS name, 'd' AS kind FROM nation
-UNION ALL SELECT 'n' || c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1, c_custkey + 1000, c_name, 'f' FROM customer""")
+@query(f"""WITH {DIRENTS_SQL}, requests AS (
+  SELECT 'n' || c_nationkey AS parent_id, 'd' || (c_custkey + 1000000) AS inode_id, 'f' AS kind, c_custkey,
+         CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN repeat('x', 256) WHEN 2 THEN 'a/' || c_name ELSE 'new ' || c_name END AS name FROM customer
+  UNION ALL SELECT 'empty', 'e' || n_nationkey, 'd', n_nationkey, n_name FROM nation
+), fit AS (
+  SELECT * FROM requests WHERE strlen(name) <= {layout.NAME_BYTES} AND NOT contains(name, '/') AND (parent_id, name) NOT IN (SELECT (parent_id, name) FROM dirents)
+), last AS (SELECT parent_id, max(slot) AS last FROM dirents GROUP BY parent_id)
+SELECT f.parent_id, coalesce(last + 1, 0) + row_number() OVER (PARTITION BY f.parent_id ORDER BY f.inode_id) - 1 AS slot, f.inode_id, name, kind FROM fit f LEFT JOIN last l USING (parent_id)""")
 def create_entries(spark: SparkSession, sf: str) -> DataFrame:
-    nation = table(spark, sf, "nation").select(F.lit("root").alias("parent_id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("inode_id"), F.lit("d").alias("kind"))
-    customer = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), "c_name", F.col("c_custkey") + 1000, F.lit("f"))
-    return tree.create_entries(dirents(spark, sf).where("parent_id = 'none'"), nation.union(customer))
+    turn = F.col("c_custkey") % 5
+    name = F.when(turn == 0, F.col("c_name")).when(turn == 1, F.repeat(F.lit("x"), F.lit(256))).when(turn == 2, F.concat(F.lit("a/"), "c_name")).otherwise(F.concat(F.lit("new "), "c_name"))
+    files = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id"), name.alias("name"), F.concat(F.lit("d"), (F.col("c_custkey") + 1_000_000).cast("string")).alias("inode_id"), F.lit("f").alias("kind"))
+    dirs = table(spark, sf, "nation").select(F.lit("empty"), "n_name", F.concat(F.lit("e"), F.col("n_nationkey").cast("string")), F.lit("d"))
+    return tree.create_entries(dirents(spark, sf), files.union(dirs))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS modified FROM orders")
@@ -263,3 +336,59 @@ def utf8_check(spark: SparkSession, sf: str) -> DataFrame:
 def status_json(spark: SparkSession, sf: str) -> DataFrame:
     row = F.struct("total_blocks", "used_blocks", "free_runs", "largest_free_run", F.format_string("%.3f", "fragmentation_ratio").alias("fragmentation"))
     return bitmap.frag_stats(bits(spark, sf)).select(F.to_json(row).alias("status"))
+
+
+@query(f"""{STATS_SQL} SELECT total_blocks * 4 AS total_kb, used_blocks * 4 AS used_kb, free_blocks * 4 AS free_kb, largest_free_run * 4 AS largest_free_kb,
+       printf('%.2f', avg_gap_size) AS avg_gap, printf('%.2f%%', fragmentation_ratio * 100) AS fragmentation FROM stats""")
+def analyze_report(spark: SparkSession, sf: str) -> DataFrame:
+    return bitmap.size_report(bitmap.frag_stats(bits(spark, sf)))
+
+
+@query(f"""{STATS_SQL}, moved AS (SELECT count(*) AS files_processed, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes_moved FROM documents WHERE strlen(text) > 0 AND lang <> 'es')
+SELECT files_processed, bytes_moved, greatest(free_runs - CASE WHEN free_blocks > 0 THEN 1 ELSE 0 END, 0)::BIGINT AS blocks_freed, fragmentation_ratio AS frag_before, 0.0::DOUBLE AS frag_after FROM moved, stats""")
+def defrag_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in Spanish stand for directories."""
+    kind = F.when(F.col("lang") == "es", "d").otherwise("f")
+    sized = table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), kind.alias("kind"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    return bitmap.defrag_stats(bits(spark, sf), sized)
+
+
+@query(f"SELECT doc_id AS file_id, (strlen(coalesce(text, '')) + {layout.BLOCK - 1}) // {layout.BLOCK} AS n_blocks, strlen(coalesce(text, ''))::INTEGER AS n_bytes, sha256(coalesce(text, '')) AS digest FROM documents")
+def read_by_pointers(spark: SparkSession, sf: str) -> DataFrame:
+    """Files laid out in blocks, and read again through the pointers of their inodes."""
+    nodes, data = content.stored_blocks(files(spark, sf))
+    counts = nodes.select(F.col("file_id").alias("of"), F.size("blocks").cast("long").alias("n_blocks"))
+    whole = content.read_files(nodes, data).join(counts, F.col("file_id") == F.col("of"))
+    return whole.select("file_id", "n_blocks", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+
+
+@query("""SELECT doc_id AS file_id, CASE WHEN doc_id % 3 <> 0 THEN length(text)::INTEGER END AS n_chars, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS digest,
+       CASE WHEN doc_id % 3 = 0 THEN 'non-UTF-8 data' END AS error FROM documents""")
+def read_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third file gets a byte that UTF-8 doesn't have, or half a character."""
+    bad = F.when(F.col("file_id") % 2 == 0, F.lit(b"\xff")).otherwise(F.lit(b"\xc3"))
+    some = files(spark, sf).withColumn("content", F.when(F.col("file_id") % 3 == 0, F.concat("content", bad)).otherwise(F.col("content")))
+    return content.as_text(some).select("file_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"), "error")
+
+
+@query(f"""WITH m AS (SELECT doc_id AS file_id, ['auto', 'always', 'never'][doc_id % 3 + 1] AS mode, doc_id % 4 = 0 AS noise,
+       CASE WHEN doc_id % 4 = 0 THEN 9600 ELSE strlen(coalesce(text, '')) END AS n FROM documents)
+SELECT file_id, mode, n::INTEGER AS logical_size, mode = 'always' OR mode = 'auto' AND NOT noise AND n >= {layout.COMPRESS_FROM} AS compressed, true AS restored FROM m""")
+def compress_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """The three modes; every fourth file is noise that doesn't shrink."""
+    key = F.col("file_id")
+    noise = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.sha2(F.concat_ws(" ", key.cast("string"), k.cast("string")), 256)), ""))
+    mode = F.when(key % 3 == 0, "auto").when(key % 3 == 1, "always").otherwise("never")
+    some = files(spark, sf).select("file_id", mode.alias("mode"), F.when(key % 4 == 0, noise).otherwise(F.col("content")).alias("content"))
+    packed = some.withColumn("packed", codec.zstd_encode("content"))
+    kept = packed.withColumn("stored", codec.stored(F.col("content"), F.col("packed"), F.col("mode")))
+    compressed = F.sha2("stored", 256) == F.sha2("packed", 256)
+    back = F.when(compressed, codec.zstd_decode(F.when(compressed, F.col("packed")))).otherwise(F.col("stored"))
+    return kept.select("file_id", "mode", F.octet_length("content").alias("logical_size"), compressed.alias("compressed"), (F.sha2(back, 256) == F.sha2("content", 256)).alias("restored"))
+
+
+@query("""WITH l AS (SELECT conv_id AS file_id, turn AS seq, CASE WHEN ends_with(coalesce(text, ''), chr(10)) THEN text ELSE coalesce(text, '') || chr(10) END AS line FROM conversations)
+SELECT file_id, seq, (sum(strlen(line)) OVER (PARTITION BY file_id ORDER BY seq, line ROWS UNBOUNDED PRECEDING) - strlen(line))::BIGINT AS start, strlen(line)::BIGINT AS n_bytes, sha256(line) AS digest FROM l""")
+def append_places(spark: SparkSession, sf: str) -> DataFrame:
+    said = table(spark, sf, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seq"), F.col("text").alias("line"))
+    return content.append_places(said).select("file_id", "seq", "start", "n_bytes", F.sha2("line", 256).alias("digest"))

@@ -58,28 +58,43 @@ def block(number: Column) -> Column:
 
 def bitmap(rows: DataFrame) -> DataFrame:
     """path, kind (inode, data), bit_index and used; data bits only as far as the image has blocks."""
-    one = lambda kind, at, n: rows.select("path", F.lit(kind).alias("kind"), block(F.col(at)).alias("bytes"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("bit_index"))
+    one = lambda kind, at, n: rows.select("path", F.lit(kind).alias("kind"), block(F.col(at)).alias("bytes"), n.alias("n"))
     both = one("inode", "inode_bitmap_block", F.least("inode_count", F.lit(layout.SAFE_INODES))).union(one("data", "data_bitmap_block", F.least(F.col("block_count") - F.col("data_block_start"), F.lit(layout.BITS))))
-    byte = F.conv(F.hex(F.substring("bytes", F.expr("int(bit_index div 8) + 1"), F.lit(1))), 16, 10).cast("int")
-    return both.select("path", "kind", "bit_index", (F.getbit(byte.cast("long"), (F.col("bit_index") % 8).cast("int")) == 1).alias("used"))
+    return both.select("path", "kind", F.posexplode(_bits(F.col("bytes"), F.col("n"))).alias("bit", "used")).select("path", "kind", F.col("bit").cast("long").alias("bit_index"), "used")
+
+
+def _bits(data: Column, n: Column) -> Column:
+    """The first ``n`` bits of ``data``, lowest of each byte first, as an array."""
+    byte = lambda k: F.conv(F.hex(F.substring(data, F.floor(k / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda k: F.getbit(byte(k), k % 8) == 1)
 
 
 def inodes(rows: DataFrame) -> DataFrame:
-    """path, inode_id and fields of every inode in use; mode is f or d."""
-    taken = bitmap(rows).where("kind = 'inode' and used").select(F.col("path").alias("of"), F.col("bit_index").alias("inode_id"))
-    at = F.col("inode_table_block") * layout.BLOCK + F.col("inode_id") * layout.INODE_SLOT + 1
-    slots = rows.join(taken, F.col("path") == F.col("of")).select("path", "inode_id", F.substring("content", at.cast("int"), F.lit(layout.INODE_SLOT)).alias("slot"))
-    read = slots.select("path", "inode_id", *fields(F.col("slot"), INODE))
+    """path, inode_id and fields of every inode in use; mode is f or d, other modes are an error."""
+    used = _bits(block(F.col("inode_bitmap_block")), F.least("inode_count", F.lit(layout.SAFE_INODES)))
+    table_at = F.col("inode_table_block") * layout.BLOCK + 1
+    # slots are cut from the image's own row, which is neither shuffled nor repeated
+    cut = F.transform(used, lambda on, k: F.when(on, F.substring("content", (table_at + k * layout.INODE_SLOT).cast("int"), F.lit(layout.INODE_SLOT))))
+    slots = rows.select("path", F.posexplode(cut).alias("inode_id", "slot")).where("slot is not null")
+    read = slots.select("path", F.col("inode_id").cast("long").alias("inode_id"), *fields(F.col("slot"), INODE))
+    mode = F.when(F.col("mode") == 0, "f").when(F.col("mode") == 1, "d").otherwise(F.raise_error(F.concat(F.lit("unknown mode in "), "path")))
     return read.select(
-        "path", "inode_id", F.when(F.col("mode") == 1, "d").otherwise("f").alias("mode"), "size", "compressed_size", "created_at", "modified_at",
+        "path", "inode_id", mode.alias("mode"), "size", "compressed_size", "created_at", "modified_at",
         F.array(*[f"b{k}" for k in range(layout.POINTERS)]).alias("blocks"), (F.col("encrypted") != 0).alias("encrypted"), "encryption_nonce",
     )
 
 
+def data_blocks(rows: DataFrame) -> DataFrame:
+    """path, block_id and data of every block from the first data block on."""
+    cut = F.transform(F.sequence("data_block_start", F.col("block_count") - 1), lambda k: F.struct(k.alias("block_id"), block(k).alias("data")))
+    return rows.select("path", F.explode(cut).alias("b")).select("path", "b.block_id", "b.data")
+
+
 def blocks(rows: DataFrame) -> DataFrame:
-    """path, inode_id, chunk_no and data of the blocks that inodes point to."""
-    points = inodes(rows).select(F.col("path").alias("of"), "inode_id", F.posexplode("blocks").alias("chunk_no", "block_id")).where("block_id <> 0")
-    return rows.join(points, F.col("path") == F.col("of")).select("path", "inode_id", "chunk_no", block(F.col("block_id")).alias("data"))
+    """path, inode_id, chunk_no and data of the blocks that inodes point to: pointers joined to blocks."""
+    points = inodes(rows).select(F.col("path").alias("of"), "inode_id", F.posexplode("blocks").alias("chunk_no", "pointer")).where("pointer <> 0")
+    met = points.join(data_blocks(rows), (F.col("path") == F.col("of")) & (F.col("block_id") == F.col("pointer")))
+    return met.select("path", "inode_id", "chunk_no", "data")
 
 
 def dirents(rows: DataFrame) -> DataFrame:
@@ -109,11 +124,15 @@ def dirents(rows: DataFrame) -> DataFrame:
 
 
 def contents(rows: DataFrame) -> DataFrame:
-    """path, inode_id and content of every plain file: blocks in order, cut to the stored size, decompressed."""
-    stored = inodes(rows).where("mode = 'f' and not encrypted")
+    """path, inode_id, content and error of every plain file: blocks in order, cut to the stored size, decompressed.
+
+    The content of an encrypted file, whose cipher isn't one of Spark's, is null, with an error.
+    """
+    stored = inodes(rows).where("mode = 'f'")
     key = F.struct("path", "inode_id")
     whole = reassembled(blocks(rows).select(key.alias("file_id"), "chunk_no", "data")).select(F.col("file_id.path").alias("of"), F.col("file_id.inode_id").alias("file"), F.col("content").alias("data"))
     physical = F.when(F.col("compressed_size") > 0, F.col("compressed_size")).otherwise(F.col("size"))
     cut = stored.join(whole, (F.col("path") == F.col("of")) & (F.col("inode_id") == F.col("file")), "left").withColumn("data", F.coalesce(F.substring("data", F.lit(1), physical.cast("int")), F.lit(b"")))
-    packed = F.when(F.col("compressed_size") > 0, F.col("data"))
-    return cut.select("path", "inode_id", F.coalesce(codec.zstd_decode(packed), F.col("data")).alias("content"))
+    packed = F.when((F.col("compressed_size") > 0) & ~F.col("encrypted"), F.col("data"))
+    plain = F.when(~F.col("encrypted"), F.coalesce(codec.zstd_decode(packed), F.col("data")))
+    return cut.select("path", "inode_id", plain.alias("content"), F.when(F.col("encrypted"), "encrypted").alias("error"))

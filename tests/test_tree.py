@@ -23,14 +23,28 @@ def test_parts_parents_and_names(spark):
 def test_walk_is_preorder(spark, dirents):
     got = [r["path"] for r in tree.walk(dirents, "root").orderBy("slots").collect()]
     assert got == ["a", "a/b", "a/b/file.txt", "a/b/file.txt", "a/..", "x"]
+    loop = spark.createDataFrame([("root", 0, "a", "a", "d"), ("a", 0, "a", "a", "d")], ENTRY)
     with pytest.raises(RecursionError):
-        tree.walk(dirents, "root", deepest=2)
+        tree.walk(loop, "root")
+
+
+def test_outcomes_deletes_and_listings(spark, dirents):
+    paths = ["a/b", "x/y", "a/none/z", "x", None, "", "a/b/file.txt/q/r"]
+    got = {r["path"]: (r["inode_id"], r["kind"], r["outcome"]) for r in tree.outcomes(spark.createDataFrame([(p,) for p in paths], "path string"), dirents, "root").collect()}
+    assert got == {"a/b": ("b", "d", "ok"), "x/y": (None, None, "not a directory"), "a/none/z": (None, None, "not found"), "x": ("x", "f", "ok"), None: (None, None, "not found"), "": ("root", "d", "ok"), "a/b/file.txt/q/r": (None, None, "not a directory")}
+    asked = spark.createDataFrame([("root", "a"), ("root", "x"), ("root", "x"), ("a", "none")], "parent_id string, name string")
+    assert sorted((r["name"], r["outcome"]) for r in tree.delete(dirents, asked).collect()) == [("a", "not empty"), ("none", "not found"), ("x", "deleted")]
+    inodes = spark.createDataFrame([("a", 4096, 0, 0), ("b", 4096, 0, 60), ("x", 9, 5, 86400), ("f", 7, 0, 1)], "inode_id string, size long, compressed_size long, modified_at long")
+    rows = tree.listing(dirents, inodes, spark.createDataFrame([("/",), ("x",), ("/a/",)], "path string"), "root").collect()
+    assert sorted(map(tuple, rows)) == [("", "a", "d", 4096, None, "1970-01-01 00:00:00"), ("", "x", "f", 9, 5, "1970-01-02 00:00:00"), ("a", "a/b", "d", 4096, None, "1970-01-01 00:01:00"), ("x", "x", "f", 9, 5, "1970-01-02 00:00:00")]
+    rows = tree.listing(dirents, inodes, spark.createDataFrame([("a",)], "path string"), "root", recursive=True).collect()
+    assert sorted(r["name"] for r in rows) == ["a/b", "a/b/file.txt"]
 
 
 def test_resolve_takes_the_first_entry_and_null_for_missing(spark, dirents):
     paths = ["a/b/file.txt", "/a//./b/", "", "a/none", "a/..", "x/y", None]
     got = dict(tree.resolve(spark.createDataFrame([(p,) for p in paths], "path string"), dirents, "root").collect())
-    assert got == {"a/b/file.txt": "f", "/a//./b/": "b", "": "root", "a/none": None, "a/..": "dots", "x/y": None, None: "root"}
+    assert got == {"a/b/file.txt": "f", "/a//./b/": "b", "": "root", "a/none": None, "a/..": "dots", "x/y": None, None: None}
 
 
 def test_create_rejects_taken_long_and_slashed_names(spark, dirents):
