@@ -141,8 +141,10 @@ def write_id_files(docs: DataFrame, folder: str, end_id: int = 2, path: str | No
         kinds = (("part", pa.int64()), ("shard", pa.int64()), ("stamp", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("file", pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    placed = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    # the running number deals rows with one id, or none, out to more than one task
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    order = F.col("id").asc_nulls_first(), F.col("tie")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return written(placed.mapInArrow(write, "part long, shard long, stamp long, docs long, tokens long, file string"), "manifest")
 
 

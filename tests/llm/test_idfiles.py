@@ -105,3 +105,23 @@ def test_files_hold_every_document_in_order(spark, odd_docs, plain):
 def test_no_documents(spark, no_docs):
     folder = f"{shared_folder(spark)}/ids"
     assert idfiles.read_id_files(idfiles.write_id_files(no_docs, folder), folder).count() == 0
+
+
+def test_the_query_equals_brute_force(spark, plain):
+    from inodelake.llm.queries import QUERIES
+
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op3_token_ids"](spark, "/root/testdata/sf0.001").collect()}
+    want, at = {}, 0
+    for r in sorted(table(spark, "/root/testdata/sf0.001", "documents").collect(), key=lambda r: r["doc_id"]):
+        ids = np.array([*plain(r["text"]), 2], dtype="<u4")
+        want[r["doc_id"]] = at, len(ids), zlib.crc32(ids.tobytes())
+        at += len(ids)
+    assert got == want
+
+
+def test_one_id_for_many_rows(spark, docs_of, plain):
+    folder = f"{shared_folder(spark)}/ids"
+    rows = [(7, f"text number {k}") for k in range(300)] + [(k, "x y") for k in range(5)]
+    got = idfiles.read_id_files(idfiles.write_id_files(docs_of(rows).repartition(4), folder, tokens=100), folder, with_ids=True).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [0, 1, 2, 3, 4] + [7] * 300
+    assert sorted(r["ids"] for r in got) == sorted([*plain(t), 2] for _, t in rows)
