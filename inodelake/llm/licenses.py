@@ -39,18 +39,26 @@ BASE = (
 )
 # The notices of common public licenses, in lower case and without punctuation.
 NOTICES = (
+    Template("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation"),
     Template("apache-2.0", "licensed under the apache license version 2 0"),
     Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    Template("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     Template("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    Template("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"),
     Template("gpl-2.0-or-later", "either version 2 of the license or at your option any later version"),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     Template("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     Template("no-warranty", "the software is provided as is without warranty of any kind express or implied"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain"),
+    Template("zlib", "in no event will the authors be held liable for any damages arising from the use of this software"),
 )
 TEMPLATES = BASE + NOTICES
 #: The table of template positions is broadcast to every task; it may have this many rows.
@@ -81,8 +89,8 @@ def _positions(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
 def license_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words and spans (template, label, base, start, words, cover), in text order.
 
-    A null or empty text has no words and no spans; equal rows and rows without
-    an id stay apart; an empty table gives no rows; other columns are ignored.
+    A null or empty text has no words and no spans; texts of any length are read whole; equal rows and rows without
+    an id stay apart; an empty table gives no rows; other columns are ignored, whatever their names.
     The templates are few and checked, so their table is broadcast; the texts
     are read once and never shuffled, only matches and one row a document are.
     """

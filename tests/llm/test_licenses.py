@@ -28,7 +28,7 @@ def test_base_places_are_exact(docs_of):
 
 
 def test_notices_with_edits_are_found_and_prose_is_not(docs_of):
-    mit = licenses.NOTICES[9]
+    mit = next(t for t in licenses.NOTICES if t.label == "mit")
     w = mit.text.split()
     edited = " ".join(w[:10] + ["really"] + w[10:20] + w[21:])
     got = spans_of(licenses.license_spans(docs_of([(1, f"before it {mit.text} after"), (2, edited), (3, " ".join(w[:6])), (4, " ".join(reversed(w)))])))
@@ -37,6 +37,14 @@ def test_notices_with_edits_are_found_and_prose_is_not(docs_of):
     assert got[3] == [] and got[4] == []
 
 
+def test_every_notice_is_found_by_its_label(docs_of):
+    rows = [(k, f"some words, {t.text.upper()}; and more") for k, t in enumerate(licenses.NOTICES)]
+    got = spans_of(licenses.license_spans(docs_of(rows)))
+    for k, t in enumerate(licenses.NOTICES):
+        assert (t.label, 2, len(t.text.split())) in got[k]
+    assert len({t.label for t in licenses.NOTICES}) >= 17
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = licenses.license_spans(odd_docs).collect()
     assert len(rows) == odd_docs.count()
