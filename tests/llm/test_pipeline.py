@@ -1,6 +1,9 @@
 import ast
+import zlib
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from inodelake.llm import langid, mixing, ngram_join, packing
 from inodelake.runtime import table, written
 
@@ -18,7 +21,9 @@ def test_stages_take_effect(spark):
         assert docs.columns == table(spark, SF, "documents").columns
         kept.append(docs)
     every = table(spark, SF, "documents")
-    assert kept[0].count() == langid.identify(every, langid.train(every)).where("lang_pred <> 'und'").count()
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(every, langid.train(every)).collect()}
+    stays = {r["doc_id"] for r in every.collect() if found[r["doc_id"]][0] != "und" and (found[r["doc_id"]][0] == r["lang"] or found[r["doc_id"]][1] < p.CONFIDENT)}
+    assert {r["doc_id"] for r in kept[0].collect()} == stays
     assert kept[1].count() == ngram_join.jaccard_classes(kept[0]).where("kept").count()
     assert kept[2].count() == sum(r["copies"] for r in mixing.plan_mix(kept[1]).collect())
     last = p.STAGES[-1][1](spark, docs, SF)
@@ -29,10 +34,32 @@ def test_stages_take_effect(spark):
 def test_odd_rows_pass_through(spark, odd_docs, no_docs):
     import corpus_pipeline as p
 
-    for docs in (odd_docs, no_docs):
-        for name, stage in p.STAGES:
-            docs = written(stage(spark, docs, SF), name)
-        assert docs.count() >= 0
+    unlabelled = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    docs, seen = unlabelled, []
+    for name, stage in p.STAGES:
+        docs = written(stage(spark, docs, SF), name)
+        seen.append(sorted((r["doc_id"] for r in docs.collect()), key=str))
+    assert seen[0] == [1, 1, 5, 7, 8, None] and seen[1] == [1, 5, 7, 8, None]
+    plan = {r["doc_id"]: r["copies"] for r in mixing.plan_mix(unlabelled.where("doc_id is null and text is not null or doc_id in (5, 7, 8)").union(unlabelled.where("doc_id = 1").limit(1))).collect()}
+    assert set(seen[2]) <= set(seen[1]) and len(seen[2]) == sum(plan.values())
+    pieces = docs.collect()
+    assert len({(r["doc_id"], r["piece"]) for r in pieces}) == len({(k, n) for k in set(seen[2]) for n in range(sum(r["doc_id"] == k for r in pieces) // seen[2].count(k))})
+    assert sorted((r["doc_id"] for r in pieces if r["piece"] == 0), key=str) == seen[2]
+    docs = no_docs
+    for name, stage in p.STAGES:
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.count() == 0
+
+
+def test_wrong_labels_go(spark, docs_of):
+    import corpus_pipeline as p
+
+    texts = {"en": "the quick brown fox jumps over the lazy dog and then they went to the other house", "de": "der schnelle braune fuchs springt und dann ging er nicht in das andere haus zur\u00fcck"}
+    rows = [(k, f"{texts[lang]} {k}", lang) for k, lang in enumerate(["en", "de"] * 60)]
+    held = next(k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 5 == 0)
+    rows += [(500, texts["en"], "de"), (501, texts["en"], None), (held, texts["de"], "zz"), (502, "123 456", "en")]
+    kept = {r["doc_id"] for r in p.language_stage(spark, docs_of(rows), SF).collect()}
+    assert kept == {k for k, _, _ in rows} - {500, 502}
 
 
 def test_clean_texts_stay_without_a_model(spark, docs_of):
