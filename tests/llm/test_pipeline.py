@@ -1,11 +1,16 @@
 import ast
+import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from inodelake.llm import langid, mixing, ngram_join, packing
 from inodelake.runtime import table, written
+from tests.llm.test_mixing import plain_targets
+from tests.llm.test_ngram_join import brute
+from tests.llm.test_packing import check as check_packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +36,37 @@ def test_stages_take_effect(spark):
     assert last.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
 
 
+def test_run_equals_brute_force(spark):
+    """Language by one text at a time, all pairs of texts, targets by resharing, and ids by the library."""
+    import corpus_pipeline as p
+
+    docs = table(spark, SF, "documents")
+    model = langid.train(docs)
+    left = []
+    for d in docs.collect():
+        (lang,), (score,) = langid.predict([d["text"]], model)
+        if lang != "und" and (d["lang"] == lang or d["lang"] not in model.languages or score < p.CONFIDENT):
+            left.append(d)
+    class_of = {k: c for k, c, _ in brute([(d["doc_id"], d["text"]) for d in left])}
+    rows = p.run(spark, SF).collect()
+    copies = Counter(r["doc_id"] for r in rows if r["piece"] == 0)
+    assert set(copies) <= set(class_of) and max(copies.values()) <= 2
+    assert len({class_of[k] for k in copies}) == len(copies)
+    # one of each class was mixed; the sizes of those left out are known only up to the class's spread
+    by_id = {d["doc_id"]: d for d in left}
+    n_words = lambda k: len(re.findall(r"[^\x20\x09-\x0D]+", by_id[k]["text"]))
+    one = {c: min(k for k in class_of if class_of[k] == c) for c in set(class_of.values())}
+    size, taken, longest = Counter(), Counter(), Counter()
+    for k in {**one, **{class_of[k]: k for k in copies}}.values():
+        size[by_id[k]["source"]] += n_words(k)
+        longest[by_id[k]["source"]] = max(longest[by_id[k]["source"]], n_words(k))
+    for k, n in copies.items():
+        taken[by_id[k]["source"]] += n * n_words(k)
+    target = plain_targets(size)
+    assert all(abs(taken[s] - target[s]) <= 2 * longest[s] + 0.1 * size[s] for s in size)
+    check_packing(rows, [by_id[k] for k, n in copies.items() for _ in range(n)], 2048)
+
+
 def test_odd_rows_pass_through(spark, odd_docs, no_docs):
     import corpus_pipeline as p
 
