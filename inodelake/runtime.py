@@ -52,7 +52,26 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or _own_folder()).rstrip('/')}/inodelake-{uuid.uuid4().hex}"
+    folder = f"{(root or _own_folder()).rstrip('/')}/inodelake-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+#: The folders of this process, for ``clean``.
+_made: list[str] = []
+
+
+def clean() -> int:
+    """Delete the scratch folders made so far, once the results that read them are saved; how many there were."""
+    from pyarrow import fs
+
+    n = 0
+    while _made:
+        store, path = fs.FileSystem.from_uri(_made.pop())
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
+            n += 1
+    return n
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
