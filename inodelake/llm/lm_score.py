@@ -62,12 +62,6 @@ class Network(NamedTuple):
     bias: np.ndarray  # unit
 
 
-class Counts(NamedTuple):
-    left: np.ndarray  # class, unit
-    right: np.ndarray  # class, unit
-    pairs: np.ndarray  # class on the left, class on the right
-
-
 def tokens(text: str | None) -> list[str]:
     """The words of a text in lower case, and what stands between words and white space."""
     return TOKEN.findall((text or "").lower())
@@ -195,49 +189,62 @@ def counted(rows: DataFrame, shared) -> DataFrame:
             first += len(x)
 
     # a task's counts fill up, so fewer tasks than files have fewer rows to sum
-    few = rows.select("units").coalesce(max(1, rows.rdd.getNumPartitions() // 4))
+    units = rows.select("units")
+    few = units.coalesce(max(1, units.rdd.getNumPartitions() // 4))
     return few.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
 
-def gathered(cells: DataFrame, units: int) -> list[Counts]:
-    """The summed counts of ``counted`` as matrices: a row of ``units`` numbers for each class comes to the driver, whatever the corpus."""
+BESIDE = "net int, class int, left binary, right binary, pairs binary"
+
+
+def gathered(cells: DataFrame, units: int) -> DataFrame:
+    """The summed counts of ``counted`` as a written table: for each network and class those of all units on its right (left) and left (right), and of the classes two further."""
     size = 2 * CLASSES * units + CLASSES * CLASSES  # of one network
-    inside = F.col("at") % size
+    inside = F.expr(f"at % {size}")
+    beyond = inside - 2 * CLASSES * units
+    kind = F.when(beyond >= 0, 2).otherwise(F.expr(f"(at % {size}) div {CLASSES * units}")).cast("int")
+    own = F.when(beyond >= 0, F.floor(beyond / CLASSES)).otherwise(F.floor((inside % (CLASSES * units)) / units)).cast("int")
+    place = F.when(beyond >= 0, beyond % CLASSES).otherwise(inside % units).cast("long")
 
     def dense(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        rows: dict[int, np.ndarray] = {}
+        rows: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            line, at, n = (c.to_numpy() for c in batch.columns)
-            for one in np.unique(line).tolist():
-                own = rows.setdefault(one, np.zeros(units, dtype=np.float32))
-                own[at[line == one]] = n[line == one]
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([r.tobytes() for r in rows.values()], pa.binary())], names=["line", "counts"])
-
-    cells = written(cells, "cells")
-    network = F.expr(f"at div {size}")
-    tables = cells.where(inside < 2 * CLASSES * units).select((network * 2 * CLASSES + F.expr(f"(at % {size}) div {units}")).alias("line"), (inside % units).alias("unit"), "n")
-    tables = tables.repartition("line").mapInArrow(dense, "line long, counts binary").collect()  # a row a class, side and network
-    pairs = cells.where(inside >= 2 * CLASSES * units).select(network.alias("network"), (inside - 2 * CLASSES * units).alias("pair"), "n").collect()  # the square of CLASSES rows a network
-    out = [Counts(np.zeros((CLASSES, units), np.float32), np.zeros((CLASSES, units), np.float32), np.zeros((CLASSES, CLASSES))) for _ in PAIRS]
-    for r in tables:
-        network, line = divmod(r["line"], 2 * CLASSES)
-        out[network][line // CLASSES][line % CLASSES] = np.frombuffer(r["counts"], dtype=np.float32)
-    for r in pairs:
-        out[r["network"]].pairs.flat[r["pair"]] = r["n"]
-    return out
-
-
-def first_network(c: Counts) -> Network:
+            if not batch.num_rows:
+                continue
+            net, line, kinds, at, n = (c.to_numpy() for c in batch.columns)
+            key = net * CLASSES + line
+            order = np.argsort(key, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                held = rows.setdefault((int(net[some[0]]), int(line[some[0]])), [np.zeros(m, dtype=np.float32) for m in (units, units, CLASSES)])
+                for k in range(3):
+                    these = some[kinds[some] == k]
+                    held[k][at[these]] = n[these]
+        cols = [[k for k, _ in rows], [k for _, k in rows], *([r[k].tobytes() for r in rows.values()] for k in range(3))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["net", "class", "left", "right", "pairs"])
+
+    spread = cells.select(F.expr(f"int(at div {size})").alias("net"), own.alias("class"), kind.alias("kind"), place.alias("place"), "n")
+    return written(spread.repartition(TASKS, "net", "class").mapInArrow(dense, BESIDE), "beside")
+
+
+def _rows(batches: Iterator) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield (batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), *(np.frombuffer(batch.column(c)[k].as_buffer(), dtype=np.float32) for c in (2, 3, 4)))
+
+
+def _leading(left: np.ndarray, right: np.ndarray) -> Network:
     """Embeddings by the leading directions of the counts' pointwise mutual information, weighted by frequency; the bias is the log frequency."""
-    n = c.left.sum(0) + 0.5
-    share = n / n.sum()
-    beside = np.concatenate([c.left, c.right])
-    often = beside.sum(1, dtype=np.float64)
-    info = np.log((beside + SHRINK) / (often[:, None] * share + SHRINK)).astype(np.float32)
+    share = left.sum(0, dtype=np.float64) + 0.5
+    share /= share.sum()
+    info = np.concatenate([left, right])
+    often = info.sum(1, dtype=np.float64)
+    for line, n in zip(info, often, strict=True):
+        line[:] = np.log((line + SHRINK) / (n * share + SHRINK))
     rows, cols = np.sqrt(often / max(1.0, often.sum())), np.sqrt(share)
-    info *= rows[:, None] * cols
+    info *= rows[:, None].astype(np.float32)
+    info *= cols.astype(np.float32)
     values, vectors = np.linalg.eigh((info @ info.T).astype(np.float64))
     values, vectors = np.sqrt(np.maximum(values[-DIM:], 1e-12)), vectors[:, -DIM:]
     near = np.where(rows[:, None] > 0, vectors * np.sqrt(values) / np.maximum(rows, 1e-9)[:, None], 0)
@@ -245,78 +252,115 @@ def first_network(c: Counts) -> Network:
     return Network(*(x.astype(np.float32) for x in (near[:CLASSES], near[CLASSES:], out, np.log(share))))
 
 
-def _softmaxes(net: Network, pairs: np.ndarray, left: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For the contexts with class ``left`` on the left: the logs of the softmaxes' sums, and the expected counts' gradients."""
-    h = net.left[left] + net.right
+def first_networks(beside: DataFrame, units: int) -> tuple[list[Network], np.ndarray]:
+    """The networks that training starts from, each made in one task from its CLASSES rows, and the counts of the units."""
+
+    def make(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        found: dict[int, np.ndarray] = {}
+        for net, own, left, right, _ in _rows(batches):
+            held = found.setdefault(net, np.zeros((2, CLASSES, units), dtype=np.float32))
+            held[0, own], held[1, own] = left, right
+        parts = [(net, [x.tobytes() for x in (*_leading(*held), held[0].sum(0, dtype=np.float64))]) for net, held in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.list_(pa.binary()))], names=["net", "parts"])
+
+    got = {r["net"]: [bytes(x) for x in r["parts"]] for r in beside.repartition("net").mapInArrow(make, "net int, parts array<binary>").collect()}  # a row a network
+    if not got:
+        return [], np.zeros(units)
+    shapes = Network((CLASSES, DIM), (CLASSES, DIM), (units, DIM), (units,))
+    nets = [Network(*(np.frombuffer(x, dtype=np.float32).reshape(s) for x, s in zip(got[k], shapes, strict=False))) for k in range(len(PAIRS))]
+    return nets, np.frombuffer(got[0][-1], dtype=np.float64)
+
+
+def _gradient(net: Network, own: int, left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, float, list[np.ndarray]]:
+    """For the contexts with class ``own`` on the left: the logs of the softmaxes' sums, and this class's part of the log-likelihood and of its gradient."""
+    h = net.left[own] + net.right
     p = h @ net.out.T
     p += net.bias
     top = p.max(1, keepdims=True)
     p -= top
     np.exp(p, out=p)
     sums = p.sum(1)
-    p *= (pairs[left] / sums).astype(np.float32)[:, None]
+    log = (top[:, 0] + np.log(sums)).astype(np.float64)
+    p *= (pairs / sums).astype(np.float32)[:, None]
     near = p @ net.out
-    return top[:, 0] + np.log(sums), [near.sum(0), near, p.T @ h, p.sum(0)]
+    on_left, on_right = left @ net.out, right @ net.out
+    fit = float(on_left @ net.left[own] + on_right @ net.right[own] + left @ net.bias - pairs @ log)
+    grad = [np.zeros_like(net.left), -near, left[:, None] * net.left[own] + right[:, None] * net.right[own] - p.T @ h, left - p.sum(0)]
+    grad[0][own] = on_left - near.sum(0)
+    grad[1][own] += on_right
+    return log, fit, grad
 
 
-def expected(spark, nets: list[Network], pairs: list[np.ndarray]) -> tuple[list[np.ndarray], list[Network]]:
-    """For each network the log of every context's softmax sum, and the gradient of its expected counts; contexts are dealt to TASKS tasks."""
-    shared = spark.sparkContext.broadcast((nets, pairs))
+def gradients(beside: DataFrame, nets: list[Network]) -> tuple[list[np.ndarray], float, float, list[Network]]:
+    """For each network the log of every context's softmax sum; the log-likelihoods' sum, the number of positions, and the gradient over all of them."""
+    shared = beside.sparkSession.sparkContext.broadcast(nets)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        nets, pairs = shared.value
-        grads: dict[int, list[np.ndarray]] = {}
-        rows = []
+        nets = shared.value
+        sums: dict[int, list[np.ndarray]] = {}
+        rows: list[tuple] = []
+        for k, own, left, right, pairs in _rows(batches):
+            log, fit, grad = _gradient(nets[k], own, left, right, pairs)
+            rows.append((k, own, fit, float(pairs.sum(dtype=np.float64)), log.tobytes()))
+            for total, x in zip(sums.setdefault(k, [np.zeros(x.shape) for x in nets[k]]), grad, strict=True):
+                total += x
+        rows += [(k, -1, 0.0, 0.0, np.concatenate([x.ravel() for x in g]).astype(np.float32).tobytes()) for k, g in sums.items()]
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary())
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["net", "own", "fit", "n", "numbers"])
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in batch.column(0).to_pylist():
-                k, left = divmod(at, CLASSES)
-                log, (own, right, out, bias) = _softmaxes(nets[k], pairs[k], left)
-                rows.append((at, log.astype(np.float64).tobytes()))
-                totals = grads.setdefault(k, [np.zeros(x.shape) for x in nets[k]])
-                for total, x in zip(totals, (0, right, out, bias), strict=True):
-                    total += x
-                totals[0][left] += own
-        rows += [(-1 - k, np.concatenate([x.ravel() for x in g]).astype(np.float32).tobytes()) for k, g in grads.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["at", "numbers"])
-
-    got = spark.range(0, len(nets) * CLASSES, 1, TASKS).mapInArrow(run, "at long, numbers binary").collect()  # a row a class, and TASKS gradients
+            own = batch.column(1).to_numpy()
+            yield batch.filter(pa.array(own >= 0))
+            for k in np.flatnonzero(own < 0).tolist():
+                x = np.frombuffer(batch.column(4)[k].as_buffer(), dtype=np.float32)
+                net = batch.column(0)[k].as_py()
+                sums[net] = sums[net] + x if net in sums else x.astype(np.float64)
+        cols = [list(sums), [-1] * len(sums), [0.0] * len(sums), [0.0] * len(sums), [x.astype(np.float32).tobytes() for x in sums.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, batch.schema, strict=True)], names=batch.schema.names)
+
+    # TASKS gradients a network at most are added in one task; a row a class and a gradient a network come to the driver
+    kind = "net int, own int, fit double, n double, numbers binary"
+    got = beside.coalesce(TASKS).mapInArrow(run, kind).repartition(1).mapInArrow(add, kind).collect()
     logs = [np.zeros((CLASSES, CLASSES)) for _ in nets]
     flat = [np.zeros(sum(x.size for x in net)) for net in nets]
     for r in got:
-        if r["at"] < 0:
-            flat[-1 - r["at"]] += np.frombuffer(r["numbers"], dtype=np.float32)
+        if r["own"] < 0:
+            flat[r["net"]] += np.frombuffer(r["numbers"], dtype=np.float32)
         else:
-            logs[r["at"] // CLASSES][r["at"] % CLASSES] = np.frombuffer(r["numbers"], dtype=np.float64)
+            logs[r["net"]][r["own"]] = np.frombuffer(r["numbers"], dtype=np.float64)
     shared.unpersist()
     parts = [np.split(f, np.cumsum([x.size for x in net])[:-1]) for f, net in zip(flat, nets, strict=True)]
-    return logs, [Network(*(x.reshape(y.shape) for x, y in zip(part, net, strict=True))) for part, net in zip(parts, nets, strict=True)]
+    grads = [Network(*(x.reshape(y.shape) for x, y in zip(part, net, strict=True))) for part, net in zip(parts, nets, strict=True)]
+    return logs, sum(r["fit"] for r in got), max(1.0, sum(r["n"] for r in got) / len(nets)), grads
 
 
-def train(spark, counts: list[Counts], steps: int = STEPS) -> tuple[list[Network], list[np.ndarray], list[float]]:
-    """Networks, the logs of their softmax sums, and the mean log-likelihood of all positions before each step and at the end."""
-    nets = [first_network(c) for c in counts]
-    moments = [[(np.zeros(x.shape), np.zeros(x.shape)) for x in net] for net in nets]
-    total = max(1.0, float(counts[0].pairs.sum()))
+def train(beside: DataFrame, nets: list[Network], steps: int = STEPS) -> tuple[list[Network], list[np.ndarray], list[float]]:
+    """Networks, the logs of their softmax sums, and the networks' mean log-likelihoods of a position, summed, before each step and at the end."""
+    if not nets:
+        return nets, [], []
+    moments = [[(np.zeros(x.shape, np.float32), np.zeros(x.shape, np.float32)) for x in net] for net in nets]
     best, history = None, []
     for step in range(steps + 1):
-        logs, minus = expected(spark, nets, [c.pairs for c in counts])
-        fits, plus = [], []
-        for net, c, log in zip(nets, counts, logs, strict=True):
-            by_left, by_right, n = c.left.T @ net.left, c.right.T @ net.right, c.left.sum(0)
-            fits.append(float((((by_left + by_right) * net.out).sum() + n @ net.bias - (c.pairs * log).sum()) / total))
-            plus.append(Network(c.left @ net.out, c.right @ net.out, by_left + by_right, n))
-        history.append(sum(fits))
+        logs, fit, total, grads = gradients(beside, nets)
+        history.append(fit / total)
         if best is None or history[-1] > best[0]:
             best = history[-1], nets, logs
         if step == steps:
             break
         moved = []
-        for net, up, down, held in zip(nets, plus, minus, moments, strict=True):
+        for net, up, held in zip(nets, grads, moments, strict=True):
             new = []
-            for x, p, m, (one, two) in zip(net, up, down, held, strict=True):
-                g = (p - m) / total
+            for x, g, (one, two) in zip(net, up, held, strict=True):
+                g = g / total
                 one += 0.2 * (g - one)
                 two += 0.05 * (g * g - two)
                 scale = np.sqrt(two / (1 - 0.95 ** (step + 1))) + 1e-9
@@ -343,6 +387,9 @@ def score(rows: DataFrame, counts: DataFrame, vocab, nets: list[Network], logs:
         tables = [((net.left @ net.out.T).ravel(), (net.right @ net.out.T + net.bias).ravel(), log.astype(np.float32).ravel()) for net, log in zip(nets, logs, strict=True)]
         for docs, batch in _blocks(batches, 2):
             units, near = contexts(docs, vocab.value.classes)
+            if not len(nets):  # no document has a token
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.zeros(len(docs), np.int64)), pa.array(np.zeros(len(docs)))], names=["row", "doc_id", "n_tokens", "log_prob"])
+                continue
             parts = [lefts[near[a] * size + units] + rights[near[b] * size + units] - norm[near[a] * CLASSES + near[b]] for (a, b), (lefts, rights, norm) in zip(PAIRS, tables, strict=True)]
             p = np.logaddexp(parts[0] + np.float32(np.log(INNER)), parts[1] + np.float32(np.log(1 - INNER))) + share[units]
             n = np.array([len(d) for d in docs], dtype=np.int64)
@@ -372,9 +419,11 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = written(token_counts(docs, text_col), "counts")
     vocab = spark.sparkContext.broadcast(vocabulary(counts))
     rows = coded(docs, vocab, id_col, text_col)
-    beside = gathered(counted(rows, vocab), len(vocab.value.classes))
-    nets, logs, _ = train(spark, beside)
-    return score(rows, counts, vocab, nets, logs, beside[0].left.sum(0, dtype=np.float64))
+    units = len(vocab.value.classes)
+    beside = gathered(counted(rows, vocab), units)
+    nets, n_units = first_networks(beside, units)
+    nets, logs, _ = train(beside, nets)
+    return score(rows, counts, vocab, nets, logs, n_units)
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

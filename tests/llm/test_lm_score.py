@@ -16,8 +16,10 @@ def fitted(spark):
     docs = table(spark, SF, "documents")
     counts = written(lm.token_counts(docs), "counts")
     vocab = spark.sparkContext.broadcast(lm.vocabulary(counts))
-    beside = lm.gathered(lm.counted(lm.coded(docs, vocab), vocab), len(vocab.value.classes))
-    return docs, counts, vocab.value, beside, lm.train(spark, beside)
+    units = len(vocab.value.classes)
+    beside = lm.gathered(lm.counted(lm.coded(docs, vocab), vocab), units)
+    nets, n_units = lm.first_networks(beside, units)
+    return docs, counts, vocab.value, (beside, n_units), lm.train(beside, nets)
 
 
 def units_of(v, found):
@@ -52,14 +54,18 @@ def test_every_position_is_trained_on(fitted):
         units.update(own)
         for pair, seen in zip(lm.PAIRS, want, strict=True):
             seen.update((int(around(v, own, i, pair[0])), u, int(around(v, own, i, pair[1]))) for i, u in enumerate(own))
-    for c, seen in zip(beside, want, strict=True):
-        left, right, pairs = np.zeros(c.left.shape), np.zeros(c.right.shape), np.zeros(c.pairs.shape)
+    sums = [[np.zeros((lm.CLASSES, n)) for n in (len(v.classes), len(v.classes), lm.CLASSES)] for _ in lm.PAIRS]
+    for r in beside[0].collect():
+        for k, x in enumerate(("left", "right", "pairs")):
+            sums[r["net"]][k][r["class"]] += np.frombuffer(r[x], dtype=np.float32)
+    for held, seen in zip(sums, want, strict=True):
+        left, right, pairs = (np.zeros(x.shape) for x in held)
         for (a, u, b), n in seen.items():
             left[a, u] += n
             right[b, u] += n
             pairs[a, b] += n
-        assert (left == c.left).all() and (right == c.right).all() and (pairs == c.pairs).all()
-    assert sum(units.values()) == sum(r["n"] for r in counts.collect()) == beside[0].pairs.sum()
+        assert (left == held[0]).all() and (right == held[1]).all() and (pairs == held[2]).all()
+    assert sum(units.values()) == sum(r["n"] for r in counts.collect()) == sums[0][2].sum() == beside[1].sum()
 
 
 def test_steps_raise_the_likelihood(fitted):
@@ -67,24 +73,23 @@ def test_steps_raise_the_likelihood(fitted):
     assert len(history) == lm.STEPS + 1 and history[-1] > history[0] + 0.1
 
 
-def test_gradient_equals_differences(spark):
-    rng = np.random.default_rng(1)
-    net = lm.Network(*(rng.standard_normal(s) for s in ((lm.CLASSES, 3), (lm.CLASSES, 3), (40, 3), (40,))))
-    pairs = rng.integers(0, 5, (lm.CLASSES, lm.CLASSES)).astype(float)
-    _, (grad,) = lm.expected(spark, [net], [pairs])
-    whole = lambda n: sum((pairs[a] * lm._softmaxes(n, pairs, a)[0]).sum() for a in range(lm.CLASSES))
+def test_gradient_equals_differences(fitted):
+    beside, (nets, _, _) = fitted[3][0], fitted[4]
+    nets = [lm.Network(*(x.astype(float) for x in n)) for n in nets]
+    _, _, total, (grad, _) = lm.gradients(beside, nets)
+    fit = lambda n: lm.gradients(beside, [n, nets[1]])[1]
     for k, at in ((0, (4, 1)), (1, (7, 2)), (2, (11, 0)), (3, (5,))):
-        up, down = ([x.copy() for x in net] for _ in range(2))
-        up[k][at] += 1e-4
-        down[k][at] -= 1e-4
-        assert grad[k][at] == pytest.approx((whole(lm.Network(*up)) - whole(lm.Network(*down))) / 2e-4, rel=1e-3)
+        up, down = ([x.copy() for x in nets[0]] for _ in range(2))
+        up[k][at] += 1e-3
+        down[k][at] -= 1e-3
+        assert grad[k][at] == pytest.approx((fit(lm.Network(*up)) - fit(lm.Network(*down))) / 2e-3, rel=1e-2, abs=1e-5 * total)
 
 
 def test_the_query_equals_brute_force(spark, fitted):
     """Every document of the registered query against softmaxes over all tokens, computed position by position."""
     docs, counts, v, beside, (nets, _, _) = fitted
     n = {r["token"]: r["n"] for r in counts.collect()}
-    mass = beside[0].left.sum(0)
+    mass = beside[1]
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = QUERIES["op2_lm_score"](spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(texts)
@@ -142,7 +147,7 @@ def test_scrambled_text_scores_lower(fitted, spark, docs_of):
     real = [r["text"] for r in docs.where("lang = 'en'").limit(20).collect()]
     junk = ["".join(reversed(t)) for t in real]
     rows = lm.coded(docs_of(list(enumerate(real + junk))), vocab)
-    got = {r["doc_id"]: r["mean_log_prob"] for r in lm.score(rows, counts, vocab, nets, logs, beside[0].left.sum(0)).collect()}
+    got = {r["doc_id"]: r["mean_log_prob"] for r in lm.score(rows, counts, vocab, nets, logs, beside[1]).collect()}
     assert np.mean([got[k] > got[k + len(real)] for k in range(len(real))]) > 0.9
 
 
