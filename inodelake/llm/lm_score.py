@@ -46,7 +46,7 @@ STEPS, RATE, TASKS = 8, 0.06, 16
 #: Counts are shrunk towards independence by this many occurrences before the first embeddings are taken from them.
 SHRINK = 5.0
 #: Distinct tokens that a worker counts or remembers before it hands them on; tokens looked at together.
-MEMORY, BLOCK = 300_000, 1 << 20
+MEMORY, BLOCK = 200_000, 1 << 19
 FAR = max(abs(k) for pair in PAIRS for k in pair)
 
 
@@ -161,11 +161,11 @@ def _blocks(batches: Iterator, column: int) -> Iterator[tuple[list[np.ndarray],
 def contexts(docs: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """All units of some documents, one after another, and the class at each distance from them."""
     sizes = np.array([len(d) for d in docs])
-    units = np.concatenate(docs).astype(np.int64)
-    place = np.arange(len(units)) + np.repeat(FAR * np.arange(1, len(docs) + 1), sizes)
-    padded = np.full(len(units) + FAR * (len(docs) + 1), EDGE, dtype=np.int64)
+    units = np.concatenate(docs).astype(np.int32)
+    place = np.arange(len(units), dtype=np.int32) + np.repeat(FAR * np.arange(1, len(docs) + 1, dtype=np.int32), sizes)
+    padded = np.full(len(units) + FAR * (len(docs) + 1), EDGE, dtype=np.uint8)
     padded[place] = classes[units]
-    return units, {k: padded[place + k] for pair in PAIRS for k in pair}
+    return units, {k: padded[place + k].astype(np.int32) for pair in PAIRS for k in pair}
 
 
 def counted(rows: DataFrame, shared) -> DataFrame:
@@ -180,8 +180,8 @@ def counted(rows: DataFrame, shared) -> DataFrame:
         for docs, _ in _blocks(batches, 0):
             units, near = contexts(docs, classes)
             for k, (a, b) in enumerate(PAIRS):
-                for s, at in enumerate((near[a] * len(classes) + units, near[b] * len(classes) + units, near[a] * CLASSES + near[b])):
-                    sums[3 * k + s] += np.bincount(at, minlength=len(sums[3 * k + s]))
+                for s, (own, width, other) in enumerate(((a, len(classes), units), (b, len(classes), units), (a, CLASSES, near[b]))):
+                    sums[3 * k + s] += np.bincount(near[own] * np.int32(width) + other, minlength=len(sums[3 * k + s]))
         first = 0
         for x in sums:
             at = np.flatnonzero(x)
@@ -383,7 +383,7 @@ def score(rows: DataFrame, counts: DataFrame, vocab, nets: list[Network], logs:
         import pyarrow as pa
 
         nets, logs, share = shared.value
-        size = len(share)
+        size = np.int32(len(share))
         tables = [((net.left @ net.out.T).ravel(), (net.right @ net.out.T + net.bias).ravel(), log.astype(np.float32).ravel()) for net, log in zip(nets, logs, strict=True)]
         for docs, batch in _blocks(batches, 2):
             units, near = contexts(docs, vocab.value.classes)
