@@ -20,9 +20,10 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inodelake.llm.blocks import PAIR, core_links, paired
 from inodelake.llm.graph import components, pairs_inside
 from inodelake.llm.tokens import small_batches
 from inodelake.runtime import free_name, table, written
@@ -40,7 +41,7 @@ RECALL = 0.9999
 AUDIT, FOUND, REPEATS = 256, 0.99, 16
 #: Classes in one block of the exact comparison.
 BLOCK = 256
-#: Up to so many candidates, their keys are broadcast to the texts; more are merged with them.
+#: Up to so many candidates, their numbers are broadcast to the texts; more are merged with them.
 BROADCAST = 200_000
 #: Words whose hashes a worker process remembers.
 MEMORY = 200_000
@@ -348,49 +349,49 @@ def candidate_clusters(classes: DataFrame, threshold: float = THRESHOLD, recall:
     raise RuntimeError(f"only {found} of {total} audited pairs were found after {REPEATS} repetitions")
 
 
-def _members(clusters: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """cluster, set_id, row, n, band, own and the pairs of blocks (one, lo, two, hi) that a class of a cluster takes part in.
+def _cored(sets: DataFrame, threshold: float) -> DataFrame:
+    """``sets`` (cluster, set_id, n, m, set_size, hashes) with core and band.
 
-    Sets whose sizes are further apart than the threshold allows can't be similar. So a cluster of more than BLOCK
-    classes is cut into bands of sizes, each a threshold wide, and a band into blocks; a block meets those of its own band and of the two beside it.
+    The core of a cluster of more than BLOCK sets are those within half the threshold's distance of its first set: as
+    the distance of sets obeys the triangle inequality, all of them are linked with each other. Bands are sizes, a
+    threshold wide: sets further apart than neighbouring bands can't be similar.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     width = math.log(1 / threshold) + 1e-9 if threshold < 1 else 1e-9
-    band = F.when(F.col("m") > BLOCK, F.floor(F.log(F.col("set_size").cast("double")) / width)).otherwise(0).cast("long")
-    members = clusters.join(sizes, "cluster").join(classes.select("set_id", "set_size", "row", "n"), "set_id").select("cluster", "set_id", "row", "n", band.alias("band"))
-    members = written(members, "members")
-    bands = members.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    beside = Window.partitionBy("cluster").orderBy("band")
-    near = lambda f, step: F.when(f("band").over(beside) == F.col("band") + step, f("blocks").over(beside)).otherwise(0)
-    bands = bands.select(F.col("cluster").alias("of"), F.col("band").alias("at"), "blocks", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))
-    members = members.join(bands, (F.col("cluster") == F.col("of")) & (F.col("band") == F.col("at")))
-    members = members.withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    numbers = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda x: x < F.col(n))
-    pair = lambda one, lo, two, hi: F.struct(one.alias("one"), lo.alias("lo"), two.alias("two"), hi.alias("hi"))
-    band, own = F.col("band"), F.col("own")
-    pairs = F.concat(
-        F.transform(numbers("blocks"), lambda x: pair(band, F.least(own, x), band, F.greatest(own, x))),
-        F.transform(numbers("below"), lambda x: pair(band - 1, x, band, own)),
-        F.transform(numbers("above"), lambda x: pair(band, own, band + 1, x)),
-    )
-    return members.select("cluster", "set_id", "row", "n", "band", "own", pairs.alias("pairs"))
+    small = sets.where(F.col("m") <= BLOCK).select("cluster", "set_id", "n", "hashes", F.lit(False).alias("core"), F.lit(0).cast("long").alias("band"))
+    large = sets.where(F.col("m") > BLOCK)
+    if not large.take(1):
+        return small
+    half = math.ceil((1 + threshold) / 2 * 1_000_000)
+
+    def near(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            core = []
+            for own, first in zip(batch.column(4), batch.column(5), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (own, first))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                core.append(common * 1_000_000 >= (len(x) + len(y) - common) * half)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 4)), pa.array(core, pa.bool_()), batch.column(3)], names=["cluster", "set_id", "n", "hashes", "core", "band"])
+
+    firsts = large.where("set_id = cluster").select(F.col("cluster").alias("of"), F.col("hashes").alias("first"))
+    band = F.floor(F.log(F.col("set_size").cast("double")) / width).cast("long").alias("band")
+    both = large.join(firsts, F.col("cluster") == F.col("of")).select("cluster", "set_id", "n", band, "hashes", "first")
+    return small.union(written(both.mapInArrow(near, "cluster binary, set_id binary, n long, hashes binary, core boolean, band long"), "cores"))
 
 
 def _verified(members: DataFrame, threshold: float) -> DataFrame:
-    """set_id, links and root for pairs of blocks; members: cluster, set_id, n, band, own, pairs, hashes."""
-    rows = members.select("cluster", F.explode("pairs").alias("pair"), "set_id", "n", "band", "own", "hashes")
-    rows = rows.select("cluster", "pair.one", "pair.lo", "pair.two", "pair.hi", "set_id", "n", "band", "own", "hashes")
-    keys = ["cluster", "one", "lo", "two", "hi"]
+    """set_id, links and root of the members (cluster, set_id, n, hashes, core, band) that have a link: of the core by its weight, of all others by comparing blocks."""
+    rows = paired(members, "set_id", BLOCK, (-1, 0, 1)).select(*PAIR, "set_id", "n", "second", "hashes")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for _, one, lo, two, hi, ids, n, band, own, raw in _grouped(batches, 4):
+        for _, one, lo, two, hi, ids, n, second, raw in _grouped(batches, 4):
             if len(ids) < 2:
                 continue
-            second = np.array([(b, o) != (one[0], lo[0]) for b, o in zip(band, own, strict=True)])
             order = np.argsort(second, kind="stable").tolist()
-            cut = len(ids) - int(second.sum())
+            cut = len(ids) - sum(second)
             sets = [np.frombuffer(raw[k], dtype="<u8") for k in order]
             names = [ids[k] for k in order]
             weight = np.array([n[k] for k in order], dtype=np.int64)
@@ -405,7 +406,8 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some], pa.binary()), pa.array(links[some]), pa.array([names[root[k]] for k in some], pa.binary())], names=["set_id", "links", "root"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "set_id binary, links long, root binary")
+    found = rows.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(compare, "set_id binary, links long, root binary")
+    return found.union(core_links(members, "set_id"))
 
 
 def jaccard_classes(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, text_col: str = "text", row: str | None = None) -> DataFrame:
@@ -434,7 +436,9 @@ def jaccard_classes(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshol
     classes = has.groupBy("set_id").agg(F.first("sketch").alias("sketch"), F.first("set_size").alias("set_size"), first.alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes.withColumn("row", F.col("first.row")), "classes")
     clusters = candidate_clusters(classes.select("set_id", "sketch"), threshold, recall).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
-    members = written(_members(clusters, classes, threshold), "members")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    members = clusters.join(sizes, "cluster").join(classes.select("set_id", "set_size", F.col("row").alias("of"), "n"), "set_id")
+    members = written(members.select("of", "cluster", "set_id", "n", "m", "set_size"), "members")
 
     def again(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -442,15 +446,16 @@ def jaccard_classes(docs: DataFrame, keep: Sequence[str] = ("doc_id",), threshol
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                sets = [shingles(t, words).tobytes() for t in some.column(6).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*some.columns[:6], pa.array(sets, pa.binary())], names=["cluster", "set_id", "n", "band", "own", "pairs", "hashes"])
+                sets = [shingles(t, words).tobytes() for t in some.column(5).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(sets, pa.binary())], names=["cluster", "set_id", "n", "m", "set_size", "hashes"])
 
-    wanted = members.select(F.col("row").alias("of"), "cluster", "set_id", "n", "band", "own", "pairs")
     few = members.limit(BROADCAST + 1).count() <= BROADCAST
-    texts = docs.select("row", "text").join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("row") == F.col("of"))
-    kinds = ", ".join(f"{c} {t}" for c, t in wanted.dtypes[1:])
-    sets = small_batches(texts.select(*wanted.columns[1:], "text")).mapInArrow(again, f"{kinds}, hashes binary")
-    checked = written(_verified(sets, threshold), "links")
+    texts, met = docs.select("row", "text"), F.col("row") == F.col("of")
+    if few:  # the numbers alone are broadcast, and only the texts they let through are shuffled
+        texts = texts.join(F.broadcast(members.select("of")), met, "left_semi")
+    texts = texts.join(members.hint("merge"), met).select("cluster", "set_id", "n", "m", "set_size", "text")
+    sets = written(small_batches(texts).mapInArrow(again, "cluster binary, set_id binary, n long, m long, set_size int, hashes binary"), "sets")
+    checked = written(_verified(_cored(sets, threshold), threshold), "links")
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("set_id").alias("a"), F.col("root").alias("b")).where("a <> b"))
     of_class = classes.join(roots, classes["set_id"] == roots["node"], "left").select("set_id", F.coalesce("root", "set_id").alias("root"), "first", "n")

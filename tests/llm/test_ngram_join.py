@@ -142,6 +142,21 @@ def test_many_candidates_are_merged_and_bands_compared(docs_of, monkeypatch):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == brute(rows)
 
 
+def test_cores_and_the_rest_of_large_clusters(docs_of, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK", 4)
+    rng = random.Random(8)
+    rows = []
+    for edits in (3, 8, 25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                copy[rng.randrange(300)] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = nj.jaccard_classes(docs_of(rows)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == brute(rows)
+
+
 def test_own_names_may_be_taken(spark):
     docs = spark.createDataFrame([(5, "a b c d e f", "x", 1), (5, "a b c d e f", "x", 2)], "`__row` long, text string, `__OWN` string, set_id int")
     left = nj.near_unique(docs)
