@@ -317,9 +317,9 @@ def _near_rows(rows: DataFrame, dims: int, threshold: float) -> DataFrame:
     if recall < 1:
         clusters = components(close.union(audit))  # the audit's own links are not thrown away
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    members = clusters.join(sizes, "root").select(F.col("root").alias("cluster"), F.col("node").alias("key"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(classes.select("key", "n", "vec"), "key").select("cluster", "key", "n", "blocks", "vec")
-    checked = written(linked_in_blocks(members, threshold), "links")
+    members = clusters.join(sizes, "root").select(F.col("root").alias("cluster"), F.col("node").alias("key"), "m")
+    members = written(members.join(classes.select("key", "n", "vec"), "key").select("cluster", "key", "n", "m", "vec"), "members")
+    checked = written(linked_in_blocks(members, threshold, BLOCK), "links")
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b"))
     of_class = classes.select("key", "first_id", "n").join(roots, F.col("key") == F.col("node"), "left").join(links, "key", "left")

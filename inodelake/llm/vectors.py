@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inodelake.llm.blocks import PAIR, core_links, paired
 from inodelake.llm.ngram_join import _grouped, roots_of
+from inodelake.runtime import written
 
 
 def parts_of(column) -> list[np.ndarray | None]:
@@ -67,28 +69,54 @@ def matrix(parts: list[bytes], unit: bool = True, kind: str = "<f8") -> np.ndarr
     return out
 
 
-def linked_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """key, links and root for the blocks of each cluster against each other; members: cluster, key, n, blocks, vec."""
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "n", "own", "vec")
+def _cored(members: DataFrame, threshold: float, size: int) -> DataFrame:
+    """``members`` (cluster, key, n, m, vec) with core and band: the core of a cluster of more than ``size`` vectors
+    are those within half the threshold's angle of its first one, which are all linked with each other."""
+    half = float(np.cos(np.arccos(min(1.0, max(-1.0, threshold))) / 2)) + 1e-9
+
+    def near(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (matrix(batch.column(k).to_pylist()) for k in (3, 4))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((x * y).sum(1) >= half)], names=["cluster", "key", "n", "vec", "core"])
+
+    small = members.where(F.col("m") <= size).select("cluster", "key", "n", "vec", F.lit(False).alias("core"))
+    large = members.where(F.col("m") > size)
+    if large.take(1):
+        firsts = large.where("key = cluster").select(F.col("cluster").alias("of"), F.col("vec").alias("first"))
+        both = large.join(firsts, F.col("cluster") == F.col("of")).select("cluster", "key", "n", "vec", "first")
+        small = small.union(written(both.mapInArrow(near, "cluster binary, key binary, n long, vec binary, core boolean"), "cores"))
+    return small.withColumn("band", F.lit(0).cast("long"))
+
+
+def linked_in_blocks(members: DataFrame, threshold: float, size: int) -> DataFrame:
+    """key, links and root of the vectors of each cluster that have a link; members (written): cluster, key, n, m, vec.
+
+    Links inside a cluster's core are counted by its weight; all other pairs are compared, in blocks of ``size``.
+    """
+    members = _cored(members, threshold, size)
+    rows = paired(members, "key", size).select(*PAIR, "key", "n", "second", "vec")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for _, lo, hi, keys, n, owns, vecs in _grouped(batches, 2):
+        for _, one, lo, two, hi, keys, n, second, vecs in _grouped(batches, 4):
+            if len(keys) < 2:
+                continue
             unit = matrix(vecs)
             close = unit @ unit.T >= threshold
-            side = np.array(owns) == lo[0]
-            if lo[0] != hi[0]:
+            if (one[0], lo[0]) != (two[0], hi[0]):
+                side = np.array(second)
                 close &= side[:, None] != side[None, :]
             np.fill_diagonal(close, False)
             links, root = close @ np.array(n, dtype=np.int64), roots_of(close)
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in some], pa.binary()), pa.array(links[some]), pa.array([keys[root[k]] for k in some], pa.binary())], names=["key", "links", "root"])
 
-    keyed = rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    return keyed.mapInArrow(compare, "key binary, links long, root binary")
+    found = rows.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(compare, "key binary, links long, root binary")
+    return found.union(core_links(members, "key"))
 
 
 #: Vectors that take part, in double precision.

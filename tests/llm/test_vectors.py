@@ -59,6 +59,15 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) and r["recall"] >= vd.RECALL for r in got.values())
 
 
+def test_cores_and_the_rest_of_large_clusters(spark, monkeypatch):
+    monkeypatch.setattr(vd, "BLOCK", 8)
+    rows = clustered(300, ((50, 0.008), (40, 0.03), (30, 0.05)), seed=7)
+    close = unit(rows) @ unit(rows).T >= 0.95
+    np.fill_diagonal(close, False)
+    got = {r["vec_id"]: r["n_links"] for r in vd.near_vectors(frame(spark, rows)).collect()}
+    assert close.sum() > 4000 and [got[k] for k in range(len(rows))] == close.sum(1).tolist()
+
+
 ODD = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [NAN, 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [0.0, -1.0]), (None, [1.0, 0.01])]
 
 
