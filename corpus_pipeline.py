@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from inodelake.llm import langid, mixing, ngram_join, packing
 from inodelake.runtime import free_name, table, written
 
+#: Words that a worker remembers for packing: less than alone, as it holds what the other stages remember too.
+WORDS = 150_000
 #: A label is taken for wrong if another language is found with this score or more.
 CONFIDENT = 0.9
 
@@ -62,7 +64,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows without an id are packed like others. An empty table gives no rows; columns other than
     doc_id and text are ignored.
     """
-    return packing.pack(docs, 2048)
+    return packing.pack(docs, 2048, memory=WORDS)
 
 
 STAGES = [
