@@ -7,35 +7,53 @@ authenticated cipher, but images encrypted elsewhere can't be read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from inodelake import layout
+from inodelake.runtime import small_batches
 
+#: Contents that Python gets at a time: what is unpacked may be much larger than what the batch's bytes bound.
+ROWS = 256
 #: Bytes that encryption adds: initialisation vector and tag.
 OVERHEAD = 28
 
 
-@F.pandas_udf(BinaryType())
-def zstd_encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(BinaryType())
+def _zstd_encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=3)
     for part in parts:
-        yield part.map(lambda b: None if b is None else packer.compress(bytes(b)))
+        yield _each(part, packer.compress)
 
 
-@F.pandas_udf(BinaryType())
-def zstd_decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(BinaryType())
+def _zstd_decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     import zstandard
 
     unpacker = zstandard.ZstdDecompressor()
     for part in parts:
-        yield part.map(lambda b: None if b is None else unpacker.decompress(bytes(b)))
+        yield _each(part, unpacker.decompress)
+
+
+def _each(part: pa.Array, change: Callable) -> pa.Array:
+    """``change`` of each value of a binary array, one value after another: beside the array only what comes out is held."""
+    return pa.array((change(v.as_buffer()) if v.is_valid else None for v in part), pa.binary(), size=len(part))
+
+
+def zstd_encode(content: Column | str) -> Column:
+    small_batches(SparkSession.active(), ROWS)
+    return _zstd_encode(content)
+
+
+def zstd_decode(packed: Column | str) -> Column:
+    small_batches(SparkSession.active(), ROWS)
+    return _zstd_decode(packed)
 
 
 def stored(content: Column, packed: Column, mode: Column) -> Column:

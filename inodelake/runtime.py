@@ -40,6 +40,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that Python gets at a time, but for a single row that has more.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """From now on the session hands Python at most ``rows`` rows and BATCH_BYTES at a time; smaller settings stay, if they are plain numbers."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    most = re.fullmatch(r"(\d+)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if not most or int(most[1]) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 @cache
 def _own_folder() -> str:
     path = tempfile.mkdtemp(prefix="spark-")

@@ -34,6 +34,22 @@ def test_compression_modes(spark):
     assert all(got[k]["back"] == got[k]["content"] for k in got)
 
 
+def test_compression_gets_few_bytes_at_a_time(spark):
+    # each batch's largest row count and bytes, as a function in the same session sees them
+    rows = spark.range(0, 4000, 1, 1).withColumn("content", F.rpad(F.col("id").cast("string"), 20_000, F.lit("x")).cast("binary"))
+    rows = rows.withColumn("same", codec.zstd_decode(codec.zstd_encode("content")) == F.col("content"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    assert rows.where("same").count() == 4000
+    n, size = rows.select("content").mapInArrow(sizes, "n long, size long").agg(F.max("n"), F.max("size")).first()
+    assert n <= codec.ROWS and size <= 5 << 20
+
+
 def test_encryption_hides_and_authenticates(spark):
     key, wrong = codec.derive_key("secret", b"s" * 16), codec.derive_key("other", b"s" * 16)
     assert key != codec.derive_key("secret", b"t" * 16)
