@@ -50,6 +50,17 @@ def test_compression_gets_few_bytes_at_a_time(spark):
     assert n <= codec.ROWS and size <= 5 << 20
 
 
+def test_the_policy_query_gets_few_bytes_at_a_time(spark):
+    from inodelake.plans.queries import QUERIES
+    from inodelake.runtime import BATCH_BYTES
+
+    rows, size = (f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes"))
+    spark.conf.set(rows, "10000")
+    spark.conf.set(size, str(64 << 20))
+    assert QUERIES["compress_policy"](spark, "/root/testdata/sf0.001").where("restored").count() == 200
+    assert int(spark.conf.get(rows)) <= codec.ROWS and int(spark.conf.get(size)) <= BATCH_BYTES
+
+
 def test_encryption_hides_and_authenticates(spark):
     key, wrong = codec.derive_key("secret", b"s" * 16), codec.derive_key("other", b"s" * 16)
     assert key != codec.derive_key("secret", b"t" * 16)
