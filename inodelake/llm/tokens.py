@@ -16,6 +16,8 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 
+from inodelake import runtime
+
 #: Chunks remembered per generation and worker process; two generations are kept.
 MEMORY = 400_000
 #: Rows that Python gets at a time.
@@ -146,8 +148,6 @@ def tokenizer(path: str, memory: int = MEMORY) -> WordTokenizer:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session that hands Python at most BATCH rows at a time: texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > BATCH:
-        df.sparkSession.conf.set(key, str(BATCH))
+    """``df``, in a session that hands Python at most BATCH rows and a few MB at a time: texts may be long."""
+    runtime.small_batches(df.sparkSession, BATCH)
     return df

@@ -163,3 +163,18 @@ def test_own_names_may_be_taken(spark):
     assert left.columns == docs.columns and [(r["__row"], r["__OWN"]) for r in left.collect()] == [(5, "x")]
     with pytest.raises(ValueError, match="sketch"):
         nj.jaccard_classes(docs.withColumn("sketch", docs["set_id"]), keep=("sketch",))
+
+
+def test_long_texts_come_a_few_at_a_time(spark, docs_of):
+    from inodelake.llm.tokens import small_batches
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    docs = docs_of([(k, f"{k} " + "word " * 20_000) for k in range(200)]).repartition(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    assert small_batches(docs).select("text").mapInArrow(sizes, "size long").agg({"size": "max"}).first()[0] <= 5 << 20
