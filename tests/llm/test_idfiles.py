@@ -46,6 +46,20 @@ def test_letters_that_normalization_takes_apart(codec, plain):
         assert ids.tolist() == plain(text), ascii(text)
 
 
+def test_letters_that_lower_case_takes_apart_before_marks(codec, plain):
+    letters = [*map(chr, range(0xA0, 0x250)), "İ", "Σ", "ς", "ẞ", "ŉ", "ǰ", "ﬁ", "Å", "K"]
+    texts = [f"{a}{c}{b}{mark} {c}{mark}{a}{c.lower()}" for c in letters for a in ("", "A", "ß", "íà") for b in ("", "s") for mark in (",", "-!", "|", ">", "'s", "\x01", " \x01 ")]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == plain(text), ascii(text)
+
+
+def test_a_word_is_encoded_once_whatever_its_case_and_marks(plain):
+    codec = WordTokenizer(PATH)
+    texts = ["Größe, größe. GRÖSSE", "word Word, WORD! word?", '"word" (Größe) größe;', "word. Word; word: größe: Größe!"]
+    assert [x.tolist() for x in codec.encode(texts)] == [plain(t) for t in texts]
+    assert {u for u in codec.young if u.isalpha()} == {"größe", "grösse", "word"}
+
+
 @pytest.mark.parametrize("memory", [150_000, 600_000])
 def test_more_new_words_than_memory_beside_old_ones(plain, memory):
     codec = WordTokenizer(PATH, memory=memory)
