@@ -37,6 +37,8 @@ UNKNOWN = "und"
 WORDLIKE = re.compile(r"[^\W\d_]")
 #: Texts looked at together: at most so many, and so many bytes unless one alone has more.
 TEXTS, BYTES = 64, 1 << 20
+#: N-gram places whose weights are made at a time.
+PLACES = 4096
 
 
 class Model(NamedTuple):
@@ -80,10 +82,11 @@ def _blocks(texts: list[str]) -> Iterator[list[int]]:
         yield block
 
 
-def fit(bits: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """The model of training texts given as rows of marks, with their languages.
+def fit(bits: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE, packed: bool = False) -> Model:
+    """The model of training texts given as rows of marks (``packed``: eight to a byte), with their languages.
 
-    Landmarks are taken in turn from each language, in the order of the rows; each language has one at least.
+    Landmarks are taken in turn from each language, in the order of the rows; each language has one at least. Only
+    the landmarks are held as numbers, of the other rows TEXTS at a time, so packed rows are most of what it takes.
     """
     names = sorted(map(str, set(languages)))
     landmarks = max(landmarks, len(names))
@@ -91,17 +94,29 @@ def fit(bits: np.ndarray, languages: np.ndarray, landmarks: int = LANDMARKS, rid
     for name in names:
         turn[languages == name] = np.arange(np.count_nonzero(languages == name))
     chosen = np.lexsort((languages, turn))[:landmarks]
-    unit = lambda rows: rows / np.maximum(np.sqrt(rows.sum(1, keepdims=True)), 1).astype(np.float32)
-    z = unit(bits[chosen].astype(np.float32))
+
+    def units(some: np.ndarray) -> Iterator[np.ndarray]:
+        for a in range(0, len(some), TEXTS):
+            rows = bits[some[a : a + TEXTS]]
+            rows = (np.unpackbits(rows, axis=1) if packed else rows).astype(np.float32)
+            rows /= np.maximum(np.sqrt(rows.sum(1, keepdims=True)), 1)
+            yield rows
+
+    z = np.empty((len(chosen), bits.shape[1] * (8 if packed else 1)), dtype=np.float32)
+    for k, rows in enumerate(units(chosen)):
+        z[k * TEXTS : (k + 1) * TEXTS] = rows
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     kept = values > 1e-6 * values[-1]
     root = vectors[:, kept] / np.sqrt(values[kept])
-    k = np.concatenate([unit(bits[a : a + 512].astype(np.float32)) @ z.T for a in range(0, len(bits), 512)]).astype(np.float64)
+    k = np.concatenate([rows @ z.T for rows in units(np.arange(len(bits)))]).astype(np.float64)
     phi = k @ root
     y = np.where(languages[:, None] == np.array(names), 1.0, -1.0)
     share = np.array([np.mean(languages == name) for name in names])
     w = np.linalg.solve(phi.T @ phi + ridge * len(phi) * np.eye(phi.shape[1]), phi.T @ (y - (2 * share - 1)))
-    return Model(names, np.ascontiguousarray(z.T @ (root @ w), dtype=np.float32))
+    weights = np.empty((z.shape[1], len(names)), dtype=np.float32)
+    for a in range(0, len(weights), PLACES):
+        weights[a : a + PLACES] = z[:, a : a + PLACES].T.astype(np.float64) @ (root @ w)
+    return Model(names, weights)
 
 
 def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray]:
@@ -159,8 +174,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST, l
     got = first.toPandas().sort_values(["hash", "lang", "bits"])  # ``most`` rows, or one a language
     if got.empty:
         return None
-    bits = np.unpackbits(np.frombuffer(b"".join(map(bytes, got["bits"])), dtype=np.uint8).reshape(len(got), -1), axis=1)
-    return fit(bits, got["lang"].to_numpy(dtype=str), landmarks)
+    bits = np.frombuffer(b"".join(map(bytes, got["bits"])), dtype=np.uint8).reshape(len(got), -1)
+    return fit(bits, got["lang"].to_numpy(dtype=str), landmarks, packed=True)
 
 
 @F.pandas_udf(BooleanType())

@@ -57,6 +57,21 @@ def test_scores_equal_kernels_with_landmarks():
     assert np.allclose(phi @ w, unit @ model.weights, atol=1e-3)
 
 
+def test_fitting_unpacks_few_rows_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    packed = rng.integers(0, 256, (1500, (1 << langid.BITS) // 8), dtype=np.uint8)
+    langs = np.repeat(list("abc"), 500)
+    tracemalloc.start()
+    model = langid.fit(packed, langs, landmarks=12, packed=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 << 20  # the rows unpacked are 49 MB, as numbers 197 MB
+    plain = langid.fit(np.unpackbits(packed, axis=1), langs, landmarks=12)
+    assert plain.languages == model.languages and np.array_equal(plain.weights, model.weights)
+
+
 def test_numerals_are_no_letters(model):
     assert langid.predict(["\u00bd \u00b2 \u2460 7", "\u2167 1_2", "\u00bd a"], model)[0][:2] == ["und", "und"]
     assert not langid.has_letter("\u00bd \u00b2 \u2460 _ 7") and langid.has_letter("\u00bd\u00e9") and not langid.has_letter(None)
